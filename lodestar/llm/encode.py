@@ -1,7 +1,8 @@
-"""Token ids of texts with a memo: a public tokenizer sees each different stretch between spaces once in a worker.
+"""Token ids of texts with a memo: a public tokenizer sees each different word once in a worker.
 
 Both kinds of vocabulary cut a text before each space or line feed at least, so the ids of a text are those of its stretches
-one after another. Where that does not hold (other white space in a row) the whole text goes to the tokenizer.
+one after another. Where that does not hold (other white space in a row) the whole text goes to the tokenizer. Both also cut
+between a letter or number and ASCII punctuation behind it, apostrophes aside, so a stretch is a word and what ends it.
 """
 
 from __future__ import annotations
@@ -10,10 +11,11 @@ import os
 import re
 from array import array
 
-#: Stretches that a worker remembers before it starts anew; texts whose stretches are looked up together.
-MEMO, TOGETHER = 400_000, 128
+#: Stretches and words that a worker remembers before it starts anew; texts whose stretches are looked up together.
+MEMO, WORDS, TOGETHER = 500_000, 1_000_000, 128
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 _TWO_SPACES = re.compile(r"\s\s")
+_WORD_AND_END = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 def as_bytes(ids: list[int]) -> bytes:
@@ -33,7 +35,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # what looks like a special token in a text is text
-        self.spaces, self.memo = spaces, {}
+        self.spaces, self.memo, self.words = spaces, {}, {}
 
     def stretches(self, text: str) -> list[str]:
         if not self.spaces:
@@ -42,16 +44,30 @@ class Encoder:
             return [text]
         return text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01")
 
+    def parts(self, stretch: str) -> tuple[str, ...]:
+        if not self.spaces and stretch.isascii():
+            stretch = stretch.lower()  # as the vocabulary without spaces does itself
+        m = _WORD_AND_END.fullmatch(stretch)
+        return m.groups() if m else (stretch,)
+
+    def learn(self, stretches: set[str]) -> None:
+        if len(self.words) > WORDS:
+            self.words.clear()
+        parts = {s: self.parts(s) for s in stretches}
+        new = list(set().union(*parts.values()).difference(self.words))
+        for lo in range(0, len(new), 8192):
+            for w, e in zip(new[lo : lo + 8192], self.tokenizer.encode_batch_fast(new[lo : lo + 8192], add_special_tokens=False), strict=True):
+                self.words[w] = as_bytes(e.ids)
+        for s, p in parts.items():
+            self.memo[s] = b"".join([self.words[w] for w in p])
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for lo in range(0, len(texts), TOGETHER):
             cut = [self.stretches(t or "") for t in texts[lo : lo + TOGETHER]]
             if len(self.memo) > MEMO:
                 self.memo.clear()
-            new = list(set().union(*cut).difference(self.memo))
-            for at in range(0, len(new), 8192):
-                for s, e in zip(new[at : at + 8192], self.tokenizer.encode_batch_fast(new[at : at + 8192], add_special_tokens=False), strict=True):
-                    self.memo[s] = as_bytes(e.ids)
+            self.learn(set().union(*cut).difference(self.memo))
             out += [b"".join(map(self.memo.__getitem__, c)) for c in cut]
         return out
 

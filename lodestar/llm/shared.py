@@ -47,11 +47,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def _roots(hooks: DataFrame) -> DataFrame:
+    """Follow hooks to the root of each tree; every pass doubles the steps, so a chain takes few passes."""
+    while True:
+        up = hooks.select(F.col("node").alias("hook"), F.col("hook").alias("top"))
+        further = stash(hooks.join(up, "hook").select("node", F.col("top").alias("hook"), (F.col("top") != F.col("hook")).alias("moved")), "hooks")
+        discard(hooks)
+        hooks = further.select("node", "hook")
+        if further.where("moved").isEmpty():
+            return hooks
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for all ends of the edges (u, v); the component is the smallest node that links reach.
 
-    Each round hooks every node to its smallest neighbour and replaces the ends of the edges by their hooks, until no
-    edge joins two nodes. Both sides of every join come from the shared folder, so adaptive execution can split a hub.
+    Each round hooks every node to its smallest neighbour, follows the hooks to their roots and replaces the ends of the
+    edges by these, until no edge joins two nodes; half of the nodes at least go in each round. Both sides of every join come from the shared folder, so adaptive execution can split a hub.
     Null ends and loops are left out; no edges give an empty table.
     """
     pair = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
@@ -59,7 +70,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     labels = None
     while not left.isEmpty():
         ends = left.select(F.col("v").alias("node"), F.col("u").alias("hook")).union(left.select("u", "u"))
-        hooks = stash(ends.groupBy("node").agg(F.min("hook").alias("hook")), "hooks")
+        hooks = _roots(stash(ends.groupBy("node").agg(F.min("hook").alias("hook")), "hooks"))
         at_u, at_v = (hooks.select(F.col("node").alias(c), F.col("hook").alias(f"{c}_hook")) for c in "uv")
         moved = left.join(at_u, "u").join(at_v, "v").select(F.least("u_hook", "v_hook").alias("u"), F.greatest("u_hook", "v_hook").alias("v")).where("u <> v").distinct()
         moved = stash(moved, "edges")

@@ -123,20 +123,35 @@ def _ip(v: str, f: Feistel, back: bool) -> str | None:
 
 
 def _date(v: str, f: Feistel, back: bool) -> str | None:
+    """With slashes the month comes first where only that is a date; single digits come back as two."""
     sign = next(c for c in v if not c.isdigit())
-    parts = v.split(sign)
-    try:
-        day = datetime.date(*map(int, parts if sign == "-" else parts[::-1]))
-    except ValueError:
-        return None
-    if not FIRST_DAY <= day <= LAST_DAY:
-        return None
-    new = FIRST_DAY + datetime.timedelta(f.within((day - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, "date", back))
-    return new.isoformat() if sign == "-" else f"{new.day:02d}{sign}{new.month:02d}{sign}{new.year}"
+    x, y, z = map(int, v.split(sign))
+    ways = {"date": (x, y, z) if sign == "-" else (z, y, x)} | ({"month first": (z, x, y)} if sign == "/" else {})
+    for way, parts in ways.items():
+        try:
+            day = datetime.date(*parts)
+        except ValueError:
+            continue
+        if not FIRST_DAY <= day <= LAST_DAY:
+            continue
+        while (day := FIRST_DAY + datetime.timedelta(f.within((day - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, way, back))).day <= 12 and way == "month first":
+            pass  # else it could be read with the day first
+        if sign == "-":
+            return day.isoformat()
+        return f"{day.month:02d}/{day.day:02d}/{day.year}" if way == "month first" else f"{day.day:02d}{sign}{day.month:02d}{sign}{day.year}"
+    return None
+
+
+def _is_ssn(v: str) -> bool:
+    return v[:3] not in ("000", "666") and v[4:6] != "00" and v[7:] != "0000"
 
 
 def _ssn(v: str, f: Feistel, back: bool) -> str | None:
-    return None if v[:3] in ("000", "666") or v[4:6] == "00" or v[7:] == "0000" else _digits(v, f, "ssn", back)
+    if not _is_ssn(v):
+        return None
+    while not _is_ssn(v := _digits(v, f, "ssn", back)):
+        pass
+    return v
 
 
 REPLACE: dict[str, Callable[[str, Feistel, bool], str | None]] = {

@@ -14,6 +14,9 @@ Only components are asked for, so no group of copies is expanded: equal sets are
 share a signature each is verified against the smallest one, its leader; those that miss the threshold there (fringe) are
 compared with all others of that leader in blocks of bounded size. Two documents that share a signature are then either
 both linked to its leader or have been compared.
+
+Whole sets travel only where a sketch allows a link. A sketch counts a set's tokens by their low bits; two sets share at
+most the sum of the lesser counts, so no link is lost.
 """
 
 from __future__ import annotations
@@ -112,6 +115,61 @@ def _frequent_tokens(docs: DataFrame, id_col: str, text_col: str, k: int) -> np.
     return np.sort(found.view(U))
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """How many tokens have each value of the low bits; four to eight of a large set have the same. 255 is 255 or more."""
+    buckets = max(64, 1 << max(0, len(tokens).bit_length() - 3))
+    return np.minimum(np.bincount((tokens & U(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def _folded(x: np.ndarray, buckets: int) -> np.ndarray:
+    """The same counts by fewer bits."""
+    return x.reshape(-1, buckets).sum(axis=0, dtype=np.uint16)
+
+
+def may_link(n: int, own: np.ndarray, m: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a set of n tokens can be linked to each of the others, from counts by equally many bits."""
+    most = np.minimum(own, others).sum(axis=1, dtype=np.int64)
+    return (100 * most >= percent * (n + m - most)) | (own.max() >= 255) | (others.max(axis=1) >= 255)
+
+
+def _possible(pairs: DataFrame, percent: int) -> DataFrame:
+    """(doc, leader) of the pairs (doc, leader, n, leader_n, left, right) whose sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for n, m, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                buckets = min(len(x), len(y))
+                keep.append(bool(may_link(n, _folded(x, buckets), np.array([m]), _folded(y, buckets)[None, :], percent)[0]))
+            yield b.select(["doc", "leader"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.mapInArrow(run, "doc long, leader long")
+
+
+def _possible_of_block(percent: int):
+    def possible(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The rows of a block pair that some other row, one of the two fringe, can be linked to."""
+        pdf = pdf.drop_duplicates(["doc", "n", "sketch"]).sort_values("n", kind="stable")
+        n, fringe = pdf["n"].to_numpy(), pdf["fringe"].to_numpy()
+        sketches = [np.frombuffer(x, np.uint8) for x in pdf["sketch"]]
+        ends = np.searchsorted(n, n * 100 // percent, "right")  # as large as a partner can be
+        found, buckets, base, counts = np.zeros(len(n), bool), 0, 0, np.zeros((0, 0))
+        for a in range(len(n)):
+            if len(sketches[a]) != buckets:
+                buckets, base = len(sketches[a]), a
+                same = int(np.searchsorted([len(x) for x in sketches], buckets, "right"))
+                counts = np.array([_folded(x, buckets) for x in sketches[a : ends[same - 1]]])
+            if ends[a] > a + 1:
+                other = slice(a + 1, ends[a])
+                hit = may_link(n[a], counts[a - base], n[other], counts[a + 1 - base : ends[a] - base], percent) & (fringe[a] | fringe[other])
+                found[a] |= hit.any()
+                found[other] |= hit
+        return pdf.loc[found, ["leader", "i", "j", "doc", "fringe"]].drop_duplicates()
+
+    return possible
+
+
 def _verify(pairs: DataFrame, percent: int) -> DataFrame:
     """(doc, leader, inner, outer): sizes of the intersection and union of left_set and right_set."""
 
@@ -199,14 +257,18 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([s.tobytes() for s in shingle_sets(b.column(1), k)], pa.binary())], ["doc", "tokens"])
+            found = [(len(s), sketch(s), s.tobytes()) for s in shingle_sets(b.column(1), k)]
+            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))]
+            yield pa.record_batch([b.column(0), *columns], ["doc", "n", "sketch", "tokens"])
 
     needed = pairs.select("doc").union(pairs.select("leader")).distinct()
     needed = shared.stash(needed, "needed")
-    tokens = shared.stash(docs.join(shared.small(needed), "doc", "left_semi").mapInArrow(sets, "doc long, tokens binary"), "tokens")
+    tokens = shared.stash(docs.join(shared.small(needed), "doc", "left_semi").mapInArrow(sets, "doc long, n long, sketch binary, tokens binary"), "tokens")
     # sizes alone tell that a pair can't be linked, not how far it is: such pairs are fringe without being verified
-    near = pairs.where(f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)").select("doc", "leader")
-    near = near.join(tokens.select("doc", F.col("tokens").alias("left_set")), "doc").join(tokens.select(F.col("doc").alias("leader"), F.col("tokens").alias("right_set")), "leader")
+    near = pairs.where(f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)").select("doc", "leader").distinct()
+    near = near.join(tokens.select("doc", "n", F.col("sketch").alias("left")), "doc").join(tokens.select(F.col("doc").alias("leader"), F.col("n").alias("leader_n"), F.col("sketch").alias("right")), "leader")
+    near_pairs = shared.stash(_possible(near.select("doc", "leader", "n", "leader_n", "left", "right"), percent).distinct(), "near")
+    near = near_pairs.join(tokens.select("doc", F.col("tokens").alias("left_set")), "doc").join(tokens.select(F.col("doc").alias("leader"), F.col("tokens").alias("right_set")), "leader")
     verified = shared.stash(_verify(near.select("doc", "leader", "left_set", "right_set"), percent).where(f"100 * inner >= {percent} * outer"), "verified")
 
     members = pairs.join(verified.select("doc", "leader", F.lit(True).alias("core")), ["doc", "leader"], "left").select("doc", "leader", F.col("core").isNull().alias("fringe"))
@@ -214,15 +276,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     crowds = members.groupBy("leader").agg(F.count("*").alias("n"), F.max("fringe").alias("any")).where("n > 1 and any")
     crowds = shared.stash(crowds.select("leader", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "crowds")
     block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    crowd = members.join(crowds, "leader").join(tokens, "doc").select("leader", "doc", "fringe", "tokens", block.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    crowd = crowd.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "fringe", "tokens")
-    found = crowd.groupBy("leader", "i", "j").applyInPandas(_links_of_block(percent), "u long, v long")
+    crowd = members.join(crowds, "leader").select("leader", "doc", "fringe", block.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    crowd = crowd.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "fringe")
+    rows = crowd.join(tokens.select("doc", "n", "sketch"), "doc").groupBy("leader", "i", "j")
+    possible = shared.stash(rows.applyInPandas(_possible_of_block(percent), "leader long, i int, j int, doc long, fringe boolean"), "possible")
+    found = possible.join(tokens.select("doc", "tokens"), "doc").groupBy("leader", "i", "j").applyInPandas(_links_of_block(percent), "u long, v long")
 
     links = verified.select(F.col("leader").alias("u"), F.col("doc").alias("v")).union(found)
     components = shared.connected_components(links)
     group = equal.join(components.withColumnRenamed("node", "leader"), "leader", "left").select("n", "one", "two", F.coalesce("component", "leader").alias("component"))
     group = shared.stash(group, "groups")
-    shared.discard(pairs, needed, tokens, verified, members, crowds, equal)
+    shared.discard(pairs, needed, tokens, near_pairs, verified, members, crowds, possible, equal)
     return indexed.join(group, ["n", "one", "two"], "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 

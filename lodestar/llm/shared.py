@@ -15,10 +15,7 @@ BROADCAST_ROWS = 1_000_000
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as the session names it."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        spark.conf.set("spark.checkpoint.dir", configured := f"file://{LOCAL_CHECKPOINTS}")
-    return configured.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{LOCAL_CHECKPOINTS}").rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -68,7 +68,10 @@ def upsert(table: DataFrame, rows: DataFrame, key: tuple[str, ...], order: str,
     """
     names = table.columns
     whole = " and ".join(f"`{c}` is not null" for c in key)
-    shaped = conform(rows, table).columns
+    conform(rows, table)  # raises on other types
+    missing = {n: F.lit(None).cast(kind) for n, kind in table.dtypes if n not in rows.columns}
+    rows = rows.withColumns(missing) if missing else rows
+    shaped = [F.col(n).cast(kind).alias(n) for n, kind in table.dtypes]
     given = rows.where(whole).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("__n"), F.struct(*shaped).alias("__row")))).alias("__new"))
     current = table.where(whole).select(*key, F.struct(*names).alias("__old"))
     both = current.join(given, list(key), "full")

@@ -35,6 +35,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # what looks like a special token in a text is text
+        self.most = max(self.tokenizer.get_vocab().values())
         self.spaces, self.memo, self.words = spaces, {}, {}
 
     def stretches(self, text: str) -> list[str]:

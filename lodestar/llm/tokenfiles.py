@@ -1,7 +1,7 @@
 """Token ids of a corpus in Arrow files of equal-length rows, and their way back.
 
 Each part file holds a contiguous range of the corpus in ascending id order: record batches of fixed-size lists `ids`
-(32 bits) and `mask` (1: real, 0: padding after the part's last id), so row r of batch b is at a known place of a memory
+(16 bits if the vocabulary fits, else 32) and `mask` (a bit each; 0: padding after the part's last id), so row r of batch b is at a known place of a memory
 map. An index file beside it says where each document begins in the part.
 """
 
@@ -26,15 +26,16 @@ _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_ids", pa.
 _MANIFEST = "part int, path string, n_ids long, n_docs long"
 
 
-def _file_schema(row_ids: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), row_ids)), ("mask", pa.list_(pa.uint8(), row_ids))])
+def _file_schema(row_ids: int, kind: type) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), row_ids)), ("mask", pa.list_(pa.bool_(), row_ids))])
 
 
 class _Rows:
     """Cuts a stream of ids into rows and writes full record batches."""
 
-    def __init__(self, sink: pa.NativeFile, row_ids: int):
-        self.row_ids, self.schema, self.held, self.total = row_ids, _file_schema(row_ids), bytearray(), 0
+    def __init__(self, sink: pa.NativeFile, row_ids: int, most: int):
+        self.kind = np.uint16 if most < 1 << 16 else np.uint32
+        self.row_ids, self.schema, self.held, self.total = row_ids, _file_schema(row_ids, self.kind), bytearray(), 0
         self.writer = pa.ipc.new_file(sink, self.schema)
 
     def add(self, ids: bytes) -> None:
@@ -50,9 +51,9 @@ class _Rows:
     def _write(self, ids: bytes) -> None:
         n = len(ids) // 4
         rows = -(-n // self.row_ids)
-        flat = np.zeros(rows * self.row_ids, "<u4")
+        flat = np.zeros(rows * self.row_ids, self.kind)
         flat[:n] = np.frombuffer(ids, "<u4")
-        mask = (np.arange(len(flat)) < n).astype(np.uint8)
+        mask = np.arange(len(flat)) < n
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.row_ids) for x in (flat, mask)]
         self.writer.write_batch(pa.record_batch(lists, schema=self.schema))
 
@@ -82,7 +83,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, spaces:
         to_ids = encode.encoder(tokenizer, spaces)
         n_docs = 0
         with store.open_output_stream(f"{root}/{name}.arrow") as sink, store.open_output_stream(f"{root}/{name}.index.arrow") as side:
-            rows, index = _Rows(sink, row_ids), pa.ipc.new_file(side, _INDEX)
+            rows, index = _Rows(sink, row_ids, max(to_ids.most, end_id)), pa.ipc.new_file(side, _INDEX)
             for batch in batches:
                 for lo in range(0, len(batch), encode.TOGETHER):
                     b = batch.slice(lo, encode.TOGETHER)
@@ -119,7 +120,7 @@ class TokenFile:
     def row(self, r: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids and the mask of row r."""
         batch, at = self.file.get_batch(r // BATCH_ROWS), r % BATCH_ROWS
-        return tuple(batch.column(c)[at].values.to_numpy() for c in (0, 1))
+        return tuple(batch.column(c)[at].values.to_numpy(zero_copy_only=c == 0) for c in (0, 1))
 
     def span(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids from start to start + n in pieces that lie in one record batch each."""

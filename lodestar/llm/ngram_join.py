@@ -34,8 +34,8 @@ from .wordhash import U, mix, shingle_sets, unpack
 
 #: A token is frequent from so many sightings on, or from total / MAX_FREQUENT, so that the list of them is bounded.
 FREQUENT, MAX_FREQUENT = 32, 2_000_000
-#: Tokens counted together before a task reports those seen twice.
-COUNTED_TOGETHER = 4_000_000
+#: Tokens counted together before a task reports those seen twice; tokens of whole sets that a task holds before it sends them.
+COUNTED_TOGETHER, SENT_TOGETHER = 2_000_000, 1_000_000
 #: Documents on each side of a block of the fringe comparison; tokens of one product.
 BLOCK, PRODUCT_TOKENS = 128, 16_384
 
@@ -257,9 +257,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(len(s), sketch(s), s.tobytes()) for s in shingle_sets(b.column(1), k)]
-            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))]
-            yield pa.record_batch([b.column(0), *columns], ["doc", "n", "sketch", "tokens"])
+            found, sent, held = [], 0, 0
+            for at, s in enumerate(shingle_sets(b.column(1), k), 1):
+                found.append((len(s), sketch(s), s.tobytes()))
+                held += len(s)
+                if held >= SENT_TOGETHER or at == len(b):
+                    columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))]
+                    yield pa.record_batch([b.column(0).slice(sent, len(found)), *columns], ["doc", "n", "sketch", "tokens"])
+                    found, sent, held = [], at, 0
 
     needed = pairs.select("doc").union(pairs.select("leader")).distinct()
     needed = shared.stash(needed, "needed")

@@ -12,8 +12,8 @@ both sets hold it, in the other prefix too, so both index the shared rare token
 
 Only components are asked for, so no group of copies is expanded: equal sets are one representative; of the documents that
 share a signature each is verified against the smallest one, its leader; those that miss the threshold there (fringe) are
-compared with all others of that leader in blocks of bounded size. Two documents that share a signature are then either
-both linked to its leader or have been compared.
+compared with all others of that leader in blocks of bounded size, unless the links to leaders already connect them. Two
+documents that share a signature are then either in one component by links to leaders or have been compared.
 
 Whole sets travel only where a sketch allows a link. A sketch counts a set's tokens by their low bits; two sets share at
 most the sum of the lesser counts, so no link is lost.
@@ -149,9 +149,9 @@ def _possible(pairs: DataFrame, percent: int) -> DataFrame:
 
 def _possible_of_block(percent: int):
     def possible(pdf: pd.DataFrame) -> pd.DataFrame:
-        """The rows of a block pair that some other row, one of the two fringe, can be linked to."""
+        """The rows of a block pair that some other row of another part, one of the two fringe, can be linked to."""
         pdf = pdf.drop_duplicates(["doc", "n", "sketch"]).sort_values("n", kind="stable")
-        n, fringe = pdf["n"].to_numpy(), pdf["fringe"].to_numpy()
+        n, fringe, part = pdf["n"].to_numpy(), pdf["fringe"].to_numpy(), pdf["part"].to_numpy()
         sketches = [np.frombuffer(x, np.uint8) for x in pdf["sketch"]]
         ends = np.searchsorted(n, n * 100 // percent, "right")  # as large as a partner can be
         found, buckets, base, counts = np.zeros(len(n), bool), 0, 0, np.zeros((0, 0))
@@ -162,9 +162,10 @@ def _possible_of_block(percent: int):
                 counts = np.array([_folded(x, buckets) for x in sketches[a : ends[same - 1]]])
             if ends[a] > a + 1:
                 other = slice(a + 1, ends[a])
-                hit = may_link(n[a], counts[a - base], n[other], counts[a + 1 - base : ends[a] - base], percent) & (fringe[a] | fringe[other])
-                found[a] |= hit.any()
-                found[other] |= hit
+                at = np.flatnonzero((fringe[a] | fringe[other]) & (part[other] != part[a])) + a + 1
+                hit = at[may_link(n[a], counts[a - base], n[at], counts[at - base], percent)] if len(at) else at
+                found[a] |= len(hit) > 0
+                found[hit] = True
         return pdf.loc[found, ["leader", "i", "j", "doc", "fringe"]].drop_duplicates()
 
     return possible
@@ -276,22 +277,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     near = near_pairs.join(tokens.select("doc", F.col("tokens").alias("left_set")), "doc").join(tokens.select(F.col("doc").alias("leader"), F.col("tokens").alias("right_set")), "leader")
     verified = shared.stash(_verify(near.select("doc", "leader", "left_set", "right_set"), percent).where(f"100 * inner >= {percent} * outer"), "verified")
 
-    members = pairs.join(verified.select("doc", "leader", F.lit(True).alias("core")), ["doc", "leader"], "left").select("doc", "leader", F.col("core").isNull().alias("fringe"))
-    members = shared.stash(members, "members")
-    crowds = members.groupBy("leader").agg(F.count("*").alias("n"), F.max("fringe").alias("any")).where("n > 1 and any")
+    parts = shared.connected_components(verified.select(F.col("leader").alias("u"), F.col("doc").alias("v")))
+    core = verified.select("doc", "leader", F.lit(True).alias("core"))
+    members = pairs.join(core, ["doc", "leader"], "left").join(parts.withColumnRenamed("node", "doc"), "doc", "left")
+    members = shared.stash(members.select("doc", "leader", F.col("core").isNull().alias("fringe"), F.coalesce("component", "doc").alias("part")), "members")
+    crowds = members.groupBy("leader").agg(F.count("*").alias("n"), F.max("fringe").alias("any"), (F.min("part") != F.max("part")).alias("apart")).where("any and apart")
     crowds = shared.stash(crowds.select("leader", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "crowds")
     block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    crowd = members.join(crowds, "leader").select("leader", "doc", "fringe", block.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    crowd = crowd.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "fringe")
+    crowd = members.join(crowds, "leader").select("leader", "doc", "fringe", "part", block.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    crowd = crowd.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc", "fringe", "part")
     rows = crowd.join(tokens.select("doc", "n", "sketch"), "doc").groupBy("leader", "i", "j")
     possible = shared.stash(rows.applyInPandas(_possible_of_block(percent), "leader long, i int, j int, doc long, fringe boolean"), "possible")
     found = possible.join(tokens.select("doc", "tokens"), "doc").groupBy("leader", "i", "j").applyInPandas(_links_of_block(percent), "u long, v long")
 
-    links = verified.select(F.col("leader").alias("u"), F.col("doc").alias("v")).union(found)
+    links = parts.select(F.col("component").alias("u"), F.col("node").alias("v")).union(found)
     components = shared.connected_components(links)
     group = equal.join(components.withColumnRenamed("node", "leader"), "leader", "left").select("n", "one", "two", F.coalesce("component", "leader").alias("component"))
     group = shared.stash(group, "groups")
-    shared.discard(pairs, needed, tokens, near_pairs, verified, members, crowds, possible, equal)
+    shared.discard(pairs, needed, tokens, near_pairs, verified, parts, members, crowds, possible, equal)
     return indexed.join(group, ["n", "one", "two"], "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 

@@ -1,7 +1,8 @@
 """Benchmark decontamination with DataFrame and SQL functions only.
 
 Texts and benchmark items are sequences of words: runs of letters and digits in lower case. A window that resembles an
-item shares a k-word shingle with it, so only item-sized windows that are aligned with a shared shingle are looked at. Such
+item holds many of its k-word shingles, in whatever order, so all item-sized windows are looked at that hold as many shingles
+shared with items of that length as the similarity needs; running counts find where they begin. Such
 a window has a SimHash of its weighted shingles; all items whose fingerprints lie within a Hamming radius are found by equal
 blocks of bits, each item being indexed under every value near its own block: of r differing bits at least one of b blocks
 has r // b or fewer. Candidates are verified by the exact weighted Jaccard similarity of their shingles, the weight of a
@@ -23,6 +24,12 @@ SIMHASH = "aggregate(transform(sequence(0, 63), b -> IF(2 * aggregate(shingles,
 NEAR = f"filter(sequence(0, {(1 << BLOCK_BITS) - 1}), x -> bit_count(x) <= {RADIUS // BLOCKS})"
 #: Occurrences in common: for each different shingle of the item the lesser of its counts.
 COMMON = "aggregate(array_distinct(item), 0, (n, x) -> n + least(size(filter(item, y -> y = x)), size(filter(shingles, y -> y = x))))"
+#: Begins of the windows whose first shared shingle is the j-th one at, if it and those behind it are enough within the width.
+RUNS = "filter(transform(filter(sequence(0, size(at) - 1), j -> get(at, j + need - 1) - at[j] < width), j -> struct(greatest(0, coalesce(get(at, j - 1) + 1, 0), at[j + need - 1] - width + 1) AS lo, least(at[j], size - width) AS hi)), r -> r.lo <= r.hi)"
+#: The same with runs that follow each other as one.
+HEADS = "filter(runs, (r, i) -> i = 0 OR get(runs, i - 1).hi + 1 < r.lo).lo"
+TAILS = "filter(runs, (r, i) -> i = size(runs) - 1 OR get(runs, i + 1).lo > r.hi + 1).hi"
+SPANS = "transform(heads, (lo, i) -> struct(size, n, lo, tails[i] AS hi))"
 
 
 def with_shingles(df: DataFrame, k: int, *keep: str) -> DataFrame:
@@ -43,15 +50,19 @@ def _block_keys(fingerprint: str) -> str:
 
 def _leaks(texts: DataFrame, items: DataFrame, k: int, percent: int) -> DataFrame:
     """Leaks of the items of one part of the benchmark."""
-    seeds = items.select(F.size("hashes").alias("n"), F.posexplode("hashes").alias("at", "hash")).distinct()
+    seeds = items.select(F.size("hashes").alias("n"), F.explode("hashes").alias("hash")).distinct()
     # the size is a column before the array is unfolded, or each of its rows would carry the whole array
-    shingled = with_shingles(texts, k).withColumn("size", F.size("hashes")).select("id", "size", F.posexplode("hashes").alias("pos", "hash"))
+    shingled = with_shingles(texts.where("id is not null"), k).withColumn("size", F.size("hashes")).select("id", "size", F.posexplode("hashes").alias("pos", "hash"))
     met = shingled.join(F.broadcast(seeds), "hash")  # PART_SHINGLES at most
-    start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("size") - F.col("n")))
-    places = met.select("id", F.struct("n", start.alias("start")).alias("place")).groupBy("id").agg(F.collect_set("place").alias("places"))
-    places = shared.stash(places.where("id is not null"), "places")
+    met = met.groupBy("id", "size", "n").agg(F.array_sort(F.collect_set("pos")).alias("at")).withColumn("width", F.least("n", "size"))
+    met = met.withColumn("need", F.expr(f"CAST(greatest(1, ({percent} * (n + width) + {99 + percent}) div {100 + percent}) AS INT)")).where("size(at) >= need")
+    runs = met.withColumn("runs", F.expr(RUNS)).where("size(runs) > 0")
+    spans = runs.withColumn("heads", F.expr(HEADS)).withColumn("tails", F.expr(TAILS)).withColumn("spans", F.expr(SPANS))
+    places = shared.stash(spans.groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("places")), "places")
     again = with_shingles(texts.join(shared.small(places), "id"), k, "places")
-    cut = F.explode(F.transform("places", lambda p: F.struct(p["n"].alias("n"), p["start"].alias("start"), F.slice("hashes", p["start"] + 1, p["n"]).alias("shingles"))))
+    own = F.filter("places", lambda p: p["size"] == F.size("hashes"))  # rows that repeat an id can differ
+    starts = F.flatten(F.transform(own, lambda p: F.transform(F.sequence(p["lo"], p["hi"]), lambda s: F.struct(p["n"].alias("n"), s.alias("start")))))
+    cut = F.explode(F.transform(starts, lambda p: F.struct(p["n"].alias("n"), p["start"].alias("start"), F.slice("hashes", p["start"] + 1, p["n"]).alias("shingles"))))
     windows = again.select("id", cut.alias("w")).select("id", "w.*").withColumn("print", F.expr(SIMHASH))
     windows = shared.stash(windows, "windows")
     prints = items.select("id", F.col("hashes").alias("shingles")).withColumn("print", F.expr(SIMHASH)).select(F.col("id").alias("item_id"), F.size("shingles").alias("n"), F.col("print").alias("item_print"), F.col("shingles").alias("item"))
@@ -75,7 +86,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80,
 
     A row for each document and item with a window of similarity >= percent / 100: the best one, where its first shingle
     begins, and how many windows reach that. Windows are as long as the item, or the whole text if that is shorter, and begin
-    where a shingle of the text lies as far behind as in some item of that length. Null texts, and texts and items of fewer
+    at any shingle. Null texts, and texts and items of fewer
     than k words, match nothing, nor do rows without an id. Rows that repeat an id count as one document. Other columns are not read. An empty
     table on either side gives an empty result.
     """

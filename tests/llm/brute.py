@@ -73,3 +73,15 @@ def leak_similarity(text: str | None, item: str | None, k: int) -> float:
         common = sum((window & whole).values())
         best = max(best, common / (sum(window.values()) + len(b) - common))
     return best
+
+
+def best_window(text: str | None, item: str | None, k: int) -> tuple[float, int]:
+    """The best weighted Jaccard similarity of all item-sized windows of the text, and how many windows reach 0.8."""
+    a, b = bags(leak_words(text), k), bags(leak_words(item), k)
+    best, n, whole = 0.0, 0, Counter(b)
+    for start in range(max(0, len(a) - len(b)) + 1 if a and b else 0):
+        window = Counter(a[start : start + len(b)])
+        common = sum((window & whole).values())
+        best = max(best, common / (sum(window.values()) + len(b) - common))
+        n += 100 * common >= 80 * (sum(window.values()) + len(b) - common)
+    return best, n

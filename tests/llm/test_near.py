@@ -113,3 +113,16 @@ def test_leaks(spark):
     assert len(got) >= 0.95 * len(wanted)  # the rest lies beyond the fingerprints' radius
     parts = decontam.leaks(spark.createDataFrame([*docs.items()], DOCS), spark.createDataFrame([*items.items()], "item_id long, text string"), part_shingles=200)
     assert {(r["doc_id"], r["item_id"]) for r in parts.collect()} == set(got)
+
+
+def test_leaks_of_moved_parts(spark):
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    items = {i: words(59) for i in range(6)} | {7: words(40), 8: words(30)}
+    docs = {0: items[0][29:] + items[0][:29], 1: items[1][7:] + items[1][:7], 2: items[2][52:] + items[2][:52], 3: items[7][20:] + items[7][:20], 4: items[3], 5: items[8][15:] + items[8][:15], 6: items[4][:9] + items[4][20:40] + items[4][9:20] + items[4][40:]}
+    docs = {d: " ".join(words(30 * (d % 3)) + t + words(40 * (d % 2)) + t * (d % 2) + words(5)) for d, t in docs.items()} | {9: " ".join(items[5][20:] + items[5][:20])}
+    texts = {i: " ".join(t) for i, t in items.items()}
+    found = decontam.leaks(spark.createDataFrame([*docs.items(), (9, "another text of this id"), (None, docs[0])], DOCS), spark.createDataFrame([*texts.items()], "item_id long, text string")).collect()
+    wanted = {(d, i): b for d, t in docs.items() for i, x in texts.items() if (b := brute.best_window(t, x, 5))[0] >= 0.8}
+    assert {d for d, _ in wanted} == {0, 1, 2, 3, 4, 9}
+    assert {(r["doc_id"], r["item_id"]): (pytest.approx(r["similarity"]), r["windows"]) for r in found} == wanted

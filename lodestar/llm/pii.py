@@ -30,7 +30,8 @@ PATTERNS = {
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
     "phone": r"(?<![\d+])\+?\d{0,3}[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])(?:\+\d{1,3}[ .-])?\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])|(?<![\d+])\+\d{8,15}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    # its last number isn't where an address or a decimal begins
+    "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])(?!(?:(?<=[ -]\d)|(?<=[ -]\d\d)|(?<=[ -]\d\d\d))\.\d)",
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()), re.ASCII)  # digits of other scripts are no alphabet here
 _CAN_HOLD = re.compile(r"[0-9@]|[A-F]{32}|[a-f]{32}")
@@ -105,13 +106,31 @@ def _phone(v: str, f: Feistel, back: bool) -> str:
     return _digits(v, f, "phone", back, max(0, n - 10))  # the country's code stays
 
 
+def _card_span(v: str) -> tuple[int, int] | None:
+    """The first and end place of the card number among numbers with a space or hyphen between them; None if there is none.
+
+    Of the valid runs of whole numbers one of equal groups goes first, then one of 4, 6 and 5 digits, then the longest.
+    """
+    groups, found = [m.span() for m in re.finditer("[0-9]+", v)], []
+    for i, (begin, _) in enumerate(groups):
+        for j in range(i + 1, len(groups) + 1):
+            lengths = [e - b for b, e in groups[i:j]]
+            digits = "".join(v[b:e] for b, e in groups[i:j])
+            if 13 <= len(digits) <= 19 and not luhn(digits) and int(digits):
+                found.append((len(set(lengths)) > 1, lengths != [4, 6, 5], -len(digits), begin, groups[j - 1][1]))
+    return min(found)[3:] if found else None
+
+
 def _card(v: str, f: Feistel, back: bool) -> str | None:
-    digits = [c for c in v if c.isdigit()]
-    if luhn("".join(digits)) or not 13 <= len(digits) <= 19 or not int("".join(digits)):
+    if _card_span(v) != (0, len(v)):
         return None
-    body = f.symbols("".join(digits[:-1]), [DIGITS] * (len(digits) - 1), "card", back)
-    new = iter(body + str(luhn(body + "0")))
-    return "".join(next(new) if c.isdigit() else c for c in v)
+    while True:
+        digits = [c for c in v if c.isdigit()]
+        body = f.symbols("".join(digits[:-1]), [DIGITS] * (len(digits) - 1), "card", back)
+        new = iter(body + str(luhn(body + "0")))
+        v = "".join(next(new) if c.isdigit() else c for c in v)
+        if _card_span(v) == (0, len(v)):  # else a shorter one within it would be read on the way back
+            return v
 
 
 def _ip(v: str, f: Feistel, back: bool) -> str | None:
@@ -172,13 +191,17 @@ def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, int]:
         return text, 0
     feistel, n = Feistel(key), 0
 
-    def swap(m: re.Match) -> str:
-        nonlocal n
-        new = REPLACE[m.lastgroup](m[0], feistel, back)
-        n += new is not None
-        return m[0] if new is None else new
-
-    return _ANY.sub(swap, text), n
+    out, done, at = [], 0, 0
+    while m := _ANY.search(text, at):
+        (begin, at), value = m.span(), m[0]
+        if m.lastgroup == "card":  # other numbers can stand before and behind it
+            first, end = _card_span(value) or (0, re.search("[0-9]+", value).end())
+            begin, at, value = begin + first, begin + end, value[first:end]
+        new = REPLACE[m.lastgroup](value, feistel, back)
+        if new is not None:
+            out += [text[done:begin], new]
+            done, n = at, n + 1
+    return "".join([*out, text[done:]]), n
 
 
 def pseudonyms(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str | None = None) -> DataFrame:

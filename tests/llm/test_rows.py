@@ -74,6 +74,28 @@ def test_what_fails_validation_stays(text):
     assert pii.pseudonymise(text, KEY) == (text, 0)
 
 
+CARD = "4316522678525456"
+
+
+@pytest.mark.parametrize("text", ["{} 123", "{} 12/25", "12 {}", "12 {} 7", "12-{}", "{}-12", "{} 190.137.223.204", "190.137.223.204 {}", "{} {}", "{} 3.14", "7 {} 190.137.223.204", "1234567890123 190.137.223.204", "123 743-555-3824"])
+@pytest.mark.parametrize("card", [CARD, "4316 5226 7852 5456"])
+def test_cards_between_other_numbers(text, card):
+    new = {v: pii.pseudonymise(v, KEY)[0] for v in (card, "190.137.223.204", "743-555-3824")}
+    wanted, n = text.format(*[card] * 2), 0
+    for v in new:
+        n, wanted = n + wanted.count(v), wanted.replace(v, new[v])
+    assert pii.pseudonymise(text.format(*[card] * 2), KEY) == (wanted, n)
+    assert pii.pseudonymise(wanted, KEY, back=True) == (text.format(*[card] * 2), n)
+
+
+def test_a_card_keeps_its_pseudonym_beside_any_number():
+    new = pii.pseudonymise(CARD, KEY)[0]
+    assert all(pii.pseudonymise(f"{CARD} {i:03d}", KEY) == (f"{new} {i:03d}", 1) for i in range(1000))
+    assert all(pii.pseudonymise(pii.pseudonymise(t, KEY)[0], KEY, back=True)[0] == t for t in (f"4316 5226 7852 5456 {i:03d}" for i in range(1000)))
+    others = [t for i in range(300) if pii._card_span(t := f"4316 5226 7852 5457 {i:03d}") == (0, len(t))]
+    assert all(pii.pseudonymise(pii.pseudonymise(t, KEY)[0], KEY, back=True)[0] == t for t in others)
+
+
 def test_permutations_have_no_collisions():
     f = pii.Feistel(KEY)
     assert sorted(f.permute(x, 30, 30, "t") for x in range(900)) == list(range(900))

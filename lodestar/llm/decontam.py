@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Bits by which fingerprints may differ; blocks of a fingerprint and their bits.
-RADIUS, BLOCKS, BLOCK_BITS = 15, 4, 16
+#: Bits by which fingerprints may differ, for a similarity of 0.8; blocks of a fingerprint and their bits.
+RADIUS, BLOCKS, BLOCK_BITS = 23, 8, 8
 #: A bit is set where most occurrences of shingles have it set.
 SIMHASH = "aggregate(transform(sequence(0, 63), b -> IF(2 * aggregate(shingles, 0, (n, h) -> n + CAST(shiftright(h, b) & 1 AS INT)) > size(shingles), shiftleft(1L, b), 0L)), 0L, (f, x) -> f | x)"
 #: The values that differ from a block in so few bits that some block of any fingerprint within the radius is met.

@@ -126,3 +126,19 @@ def test_leaks_of_moved_parts(spark):
     wanted = {(d, i): b for d, t in docs.items() for i, x in texts.items() if (b := brute.best_window(t, x, 5))[0] >= 0.8}
     assert {d for d, _ in wanted} == {0, 1, 2, 3, 4, 9}
     assert {(r["doc_id"], r["item_id"]): (pytest.approx(r["similarity"]), r["windows"]) for r in found} == wanted
+
+
+def test_leaks_just_over_the_threshold(spark):
+    rng = random.Random(5)
+    items = {i: [f"w{rng.randrange(3000)}" for _ in range(59)] for i in range(8)}
+    docs = {}
+    for d in range(400):
+        text = list(items[d % 8])
+        text[rng.randrange(5, 54)] = f"x{rng.randrange(3000)}"
+        text[-1] = f"y{rng.randrange(3000)}"
+        docs[d] = " ".join(["before", *text, "behind"])
+    texts = {i: " ".join(t) for i, t in items.items()}
+    found = decontam.leaks(spark.createDataFrame([*docs.items()], DOCS), spark.createDataFrame([*texts.items()], "item_id long, text string")).collect()
+    wanted = {(d, d % 8): b for d, t in docs.items() if (b := brute.best_window(t, texts[d % 8], 5))[0] >= 0.8}
+    assert len(wanted) == 400 and max(s for s, _ in wanted.values()) < 0.85
+    assert {(r["doc_id"], r["item_id"]): (pytest.approx(r["similarity"]), r["windows"]) for r in found} == wanted

@@ -1,12 +1,15 @@
 """Hashes of words and word windows over whole Arrow batches of texts, without a loop over words.
 
-A word is a run of bytes other than space and \\x09-\\x0D. Its hash is a polynomial over a random value for each byte, so
-prefix sums give all words of a batch at once; sequences of words are hashed the same way over the words' hashes. All
-hashes have 64 bits: two different windows that one comparison meets agree by chance about once in 2**64.
+A word is a run of bytes other than space and \\x09-\\x0D. It is hashed eight bytes at a time, and a window of words by
+doubling: the hash of 2L words is made of those of its halves, and one of any other length of the two powers of two that
+cover it from both ends. Every step is a bijection of 64 bits in each of its inputs and no sum, so no two sequences agree by
+their structure; two different ones agree by chance about once in 2**64. Where a hash decides by itself what is equal,
+the operators take a cryptographic digest instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +19,8 @@ import pyarrow.compute as pc
 U = np.uint64
 #: Texts are hashed in slices of about so many bytes; one longer text makes a slice of its own.
 SLICE_BYTES = 1 << 19
-_BYTE_BASE, _WORD_BASE = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
+#: Longer words than so many bytes get a digest, one by one.
+LONG_WORD = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,24 +30,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n, kept for later slices."""
-    have = _POWERS.get(int(base))
-    if have is None or len(have[0]) <= n:
-        n = max(n, 1 << 16)
-        inverse = U(pow(int(base), -1, 1 << 64))
-        have = tuple(np.cumprod(np.concatenate([np.ones(1, U), np.full(n, b, U)])) for b in (base, inverse))
-        if n <= 4 * SLICE_BYTES:
-            _POWERS[int(base)] = have
-    return have
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of two parts in this order."""
+    return mix(mix(a + U(0x9E3779B97F4A7C15)) ^ b)
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_VALUE = mix(np.arange(1, 257, dtype=U) * U(0xA24BAED4963EE407))
-_LOWER_VALUE = _VALUE.copy()
-_LOWER_VALUE[65:91] = _VALUE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -71,26 +67,33 @@ def words(raw: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarray, np.
     heads, tails = at[:-1][at[:-1] < at[1:]], at[1:][at[:-1] < at[1:]] - 1
     first[heads], last[tails] = solid[heads], solid[tails]
     begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(_BYTE_BASE, len(raw))
-    sums = np.zeros(len(raw) + 1, U)
-    np.cumsum((_LOWER_VALUE if lower else _VALUE)[raw] * up[: len(raw)], out=sums[1:])
-    return mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(U)), begin, end, np.searchsorted(begin, at)
+    size = end - begin
+    padded = np.concatenate([_LOWER[raw] if lower else raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) + 1, np.dtype("<u8"), padded, strides=(1,))  # the next eight bytes of each place
+    hashes = mix(eight[begin] & _MASK[np.minimum(size, 8)] ^ mix(size.astype(U)))
+    more, place = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(more):
+        hashes[more] = joined(hashes[more], eight[begin[more] + place] & _MASK[np.minimum(size[more] - place, 8)])
+        place += 8
+        more = more[size[more] > place]
+    for w in np.flatnonzero(size > LONG_WORD):
+        hashes[w] = int.from_bytes(hashlib.blake2b(padded[begin[w] : end[w]].tobytes(), digest_size=8).digest(), "little")
+    return hashes, begin, end, np.searchsorted(begin, at)
 
 
 class Windows:
     """Hashes of all windows of consecutive words by their length; they may run over the end of a text."""
 
     def __init__(self, hashes: np.ndarray):
-        up, self.down = _powers(_WORD_BASE, len(hashes))
-        self.sums = np.zeros(len(hashes) + 1, U)
-        np.cumsum(hashes * up[: len(hashes)], out=self.sums[1:])
+        self.doubled = [hashes]
 
     def __call__(self, length: int) -> np.ndarray:
-        n = max(0, len(self.sums) - length)
-        return mix((self.sums[length:] - self.sums[:n]) * self.down[:n] + U(length)) if n else np.zeros(0, U)
-
-    def one(self, begin: int, end: int) -> np.uint64:
-        return mix((self.sums[end : end + 1] - self.sums[begin : begin + 1]) * self.down[begin : begin + 1] + U(end - begin))[0]
+        step = length.bit_length() - 1
+        while len(self.doubled) <= step:
+            half, n = self.doubled[-1], 1 << len(self.doubled) - 1
+            self.doubled.append(joined(half[: max(0, len(half) - n)], half[n:]))
+        whole, rest = self.doubled[step], length - (1 << step)
+        return mix(joined(whole[: max(0, len(whole) - rest)], whole[rest:]) + U(length)) if rest else mix(whole + U(length))
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -98,23 +101,13 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     for lo, hi, raw, at in slices(texts):
         hashes, _, _, begin = words(raw, at, lower=True)
         windows = Windows(hashes)
-        all_k = windows(k)
+        by_length = {n: windows(n) for n in range(1, k + 1)}
         for d in range(hi - lo):
             b, e = begin[d], begin[d + 1]
             if e - b >= k:
-                s = np.sort(all_k[b : e - k + 1])
+                s = np.sort(by_length[k][b : e - k + 1])
                 keep = np.ones(len(s), bool)
                 np.not_equal(s[1:], s[:-1], out=keep[1:])
                 yield s[keep]
             else:
-                yield np.array([windows.one(b, e)] if e > b else [], U)
-
-
-def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each 64-bit number of the binary first column, with the other columns repeated."""
-    for b in batches:
-        for lo in range(0, len(b), 512):
-            part = b.slice(lo, 512)
-            numbers = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(0)]
-            times = pa.array(np.repeat(np.arange(len(part)), [len(x) for x in numbers]))
-            yield pa.record_batch([pa.array(np.concatenate(numbers)), *(c.take(times) for c in part.columns[1:])], b.schema.names)
+                yield by_length[int(e - b)][b : b + 1] if e > b else np.zeros(0, U)

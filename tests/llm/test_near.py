@@ -31,7 +31,8 @@ def _varied(rng: random.Random, n: int, words: int) -> dict[int, str | None]:
 
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80), (2, 60)])
 def test_jaccard_components(spark, monkeypatch, k, percent):
-    monkeypatch.setattr(ngram_join, "FREQUENT", 4)  # both classes of tokens are met
+    monkeypatch.setattr(ngram_join, "FREQUENT", 4)  # all classes of tokens are met
+    monkeypatch.setattr(ngram_join, "VERY_FREQUENT", 8)
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     docs = _varied(random.Random(k), 160, 90)
     found = ngram_join.jaccard_components(spark.createDataFrame([*docs.items()], DOCS), k, percent).collect()
@@ -64,6 +65,16 @@ def test_repeated_words(spark, window, first):
         assert r["kept_text"] == kept
 
 
+def test_repeated_words_of_like_structure_and_repeated_ids(spark):
+    def thue_morse(swap: bool) -> str:
+        return "".join("ab"[(i.bit_count() % 2) ^ swap] for i in range(1024))
+
+    rest = [f"w{i}" for i in range(60)]
+    texts = [(1, [*rest[:30], thue_morse(False), *rest[30:]]), (2, [*rest[:30], thue_morse(True), *rest[30:]]), (4, rest), (4, ["two", "words"]), (5, ["x", *rest, "y"]), (6, rest), (6, ["before", *rest]), (None, rest)]
+    found = substrings.repeated_words(spark.createDataFrame([(d, " ".join(t)) for d, t in texts], DOCS), 50, with_text=True).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"], r["kept_text"]) for r in found) == sorted([(1, 61, 0, " ".join(texts[0][1])), (2, 61, 0, " ".join(texts[1][1])), (4, 60, 0, " ".join(rest)), (4, 2, 0, "two words"), (5, 62, 60, "x y"), (6, 60, 60, ""), (6, 61, 60, "before"), (0, 60, 0, " ".join(rest))])
+
+
 @pytest.mark.parametrize(("cell", "tile"), [(1500, 2048), (20, 16)])
 def test_near_vectors(spark, monkeypatch, cell, tile):
     monkeypatch.setattr(embed_join, "CELL", cell)

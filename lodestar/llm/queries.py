@@ -61,12 +61,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit a replica in which some records have a byte changed, and some files end early."""
-    found, folder, replica = warc_audit.records(table(spark, sf_dir, "pages")), shared.fresh_path(spark, "warc"), shared.fresh_path(spark, "warc")
-    index = warc_audit.write_warc(found, folder)
-    n = F.length("bytes")
-    bitten = F.concat(F.col("bytes").substr(F.lit(1), n - 5), F.lit("#").cast("binary"), F.col("bytes").substr(n - 3, F.lit(4)))
-    hurt = found.where("page_id % 1000 < 900 or floor(page_id / 1000) % 7 <> 3").withColumn("bytes", F.when(F.col("page_id") % 97 == 5, bitten).otherwise(F.col("bytes")))
-    shared.discard(warc_audit.write_warc(hurt, replica))
+    folder, replica = (shared.fresh_path(spark, "warc") for _ in range(2))
+    page = F.col("page_id")
+    damage = F.when((page % 1000 >= 900) & (F.floor(page / 1000) % 7 == 3), "missing").when(page % 97 == 5, "altered")
+    index = warc_audit.write_warc(warc_audit.records(table(spark, sf_dir, "pages")), folder, replica, damage=damage)
     return warc_audit.audit(index, folder, replica)
 
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import gzip
+import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
@@ -240,23 +243,41 @@ def test_fixity_audit(spark, sf_dir):
     pages = [(i, f"http://x/{i}", f"<p>{'y' * (i % 40)}") for i in range(60)] + [(3, "http://x/3", "again"), (None, None, None)]
     found = warc_audit.records(spark.createDataFrame(pages, "page_id long, url string, html string"), file_records=20)
     one, two = shared.fresh_path(spark, "warc"), shared.fresh_path(spark, "warc")
-    index = warc_audit.write_warc(found, one)
-    warc_audit.write_warc(found, two)
+    index = warc_audit.write_warc(found, one, two)
     assert {r["state"] for r in warc_audit.audit(index, one, two).collect()} == {"intact"}
     rows = {(r["file"], r["record"]): r for r in index.collect()}
-    file, folder = "warc-0-0", Path(two.removeprefix("file://"))
-    bitten, raw = rows[file, 7], bytearray((folder / f"{file}.warc").read_bytes())
-    raw[bitten["offset"] + 3] ^= 1
-    cut = rows[file, 19]["offset"]
-    (folder / f"{file}.warc").write_bytes(raw[:cut])
-    (folder / "warc-1-0.warc").unlink()
-    kept = Path(one.removeprefix("file://")) / "warc-2-0.warc"
+    file, at = "warc-0-0", lambda folder, key: Path(folder.removeprefix("file://")) / rows[key]["path"]
+    bitten, hurt = rows[file, 7], at(two, (file, 7))
+    raw = bytearray(hurt.read_bytes())
+    raw[bitten["place"] + 13] ^= 1
+    cut = rows[file, 19]["place"]
+    hurt.write_bytes(raw[:cut])
+    at(two, ("warc-1-0", 0)).unlink()
+    kept = at(one, ("warc-2-0", 0))
     kept.write_bytes(b"#" + kept.read_bytes()[1:])
     state = {(r["file"], r["record"]): r["state"] for r in warc_audit.audit(index, one, two).collect()}
-    wanted = {k: "missing" if k[0] == "warc-1-0" or k[0] == file and rows[k]["offset"] >= cut else "intact" for k in rows} | {(file, 7): "altered", ("warc-2-0", 0): "decayed"}
+    wanted = {k: "missing" if k[0] == "warc-1-0" or k[0] == file and rows[k]["place"] >= cut else "intact" for k in rows} | {(file, 7): "altered", ("warc-2-0", 0): "decayed"}
     assert state == wanted
 
 
+def test_records_of_odd_pages(spark):
+    long_page = "<p>" + "ä" * 3_000_000
+    pages = [(1, "u", long_page, "x", "y"), (1, "u", "again", "x", "y"), (2, None, None, None, None), (None, "u", "no id", "x", "y"), (None, "u", "no id", "x", "y"), *((7, "u", "hot", "x", "y") for _ in range(45))]
+    folder = shared.fresh_path(spark, "warc")
+    index = warc_audit.write_warc(warc_audit.records(spark.createDataFrame(pages, "page_id long, url string, html string, file string, bytes string"), file_records=10), folder)
+    found, ids, files = [], [], {}
+    for r in sorted(index.collect(), key=lambda r: (r["file"], r["record"])):
+        stored = (Path(folder.removeprefix("file://")) / r["path"]).read_bytes()[r["place"] : r["place"] + r["stored"]]
+        raw = gzip.decompress(stored)
+        assert len(raw) == r["length"] and hashlib.sha256(raw).hexdigest() == r["sha256"] and r["offset"] == files.get(r["file"], 0)
+        files[r["file"]] = r["offset"] + r["length"]
+        head, body = raw.split(b"\r\n\r\n", 1)
+        ids.append(re.search(b"WARC-Record-ID: <(.*)>", head)[1])
+        found.append((r["page_id"], body.removesuffix(b"\r\n\r\n").decode()))
+    assert len(set(ids)) == len(pages) and b"urn:page:2" not in ids  # its range is dealt to several files
+    assert Counter(found) == Counter((p[0], p[2] or "") for p in pages)
+
+
 def test_fixity_same_as_sql(spark, sf_dir, same_as_sql):
     same_as_sql(queries.op10_warc_fixity(spark, sf_dir), queries.OP10_SQL)
 

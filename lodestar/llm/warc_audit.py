@@ -23,6 +23,8 @@ from . import shared
 
 #: Children of a node, and records of a file: no group that one task holds is larger.
 FAN, FILE_RECORDS = 16, 1000
+#: Stored bytes that a task reads, about.
+READ_BYTES = 16 << 20
 _INDEX = "page_id long, file string, record int, offset long, length long, sha256 string, place long, stored long, path string"
 _INDEX_NAMES = [c.split()[0] for c in _INDEX.split(", ")]
 
@@ -73,7 +75,7 @@ def write_warc(found: DataFrame, *folders: str, damage: Column | None = None) ->
                             store.create_dir(root, recursive=True)
                         sinks = [store.open_output_stream(f"{root}/{path}", compression=None) for store, root in stores]
                     raw = raw.as_py()
-                    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+                    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
                     stored = packer.compress(raw) + packer.flush()
                     for s in sinks[:-1] if harm else sinks:
                         s.write(stored)
@@ -115,7 +117,9 @@ def leaves(index: DataFrame, folder: str) -> DataFrame:
                 out["digest"] = [_digest(source.read_at(n, at)) if at + n <= size else None for at, n in zip(pdf["place"], pdf["stored"], strict=True)]
         return out
 
-    return index.select("file", "record", "path", "place", "stored").groupBy("file").applyInPandas(read, "file string, record int, digest string")
+    # an index is small beside the bytes it tells of, so these decide how many tasks read them
+    parts = -(-(index.agg(F.sum("stored")).first()[0] or 1) // READ_BYTES)
+    return index.select("file", "record", "path", "place", "stored").repartition(parts, "file").groupBy("file").applyInPandas(read, "file string, record int, digest string")
 
 
 def tree(leaf: DataFrame, file_records: int = 4 * FILE_RECORDS) -> DataFrame:

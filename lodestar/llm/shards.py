@@ -17,17 +17,44 @@ from . import shared
 
 #: Rows of a block and of a tile; more blocks than MOST are not made, they grow instead.
 BLOCK_ROWS, MOST = 10_000, 65_536
-#: From so many rows on numpy draws no hypergeometric number, and a normal one within the possible range stands for it.
-EXACT = 10**9
+
+
+def _log_factorials(x: int, d: int) -> float:
+    """log((x + d)! / x!), exact to many digits also where both are far beyond what lgamma tells apart."""
+    if min(x, x + d) < 1_000_000:
+        return math.lgamma(x + d + 1) - math.lgamma(x + 1)
+    return (x + d + 0.5) * math.log1p(d / x) + d * math.log(x) - d + (1 / (x + d) - 1 / x) / 12
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """How many of n rows drawn from good + bad are good."""
-    if good + bad < EXACT:
-        return int(rng.hypergeometric(good, bad, n))
+    """How many of n rows drawn from good + bad are good: ratio of uniforms, whose work doesn't grow with the numbers.
+
+    A point under the table mountain hat is taken if it lies below the probabilities' ratio to that of the mode, so the draw
+    has the hypergeometric law at any size.
+    """
     total = good + bad
-    mean, var = n * good / total, n * (good / total) * (bad / total) * (total - n) / max(1, total - 1)
-    return int(min(max(round(rng.normal(mean, math.sqrt(var))), n - bad, 0), good, n))
+    if 2 * n > total:
+        return good - hypergeometric(rng, good, bad, total - n)
+    if good > bad:
+        return n - hypergeometric(rng, bad, good, n)
+    if not good or not n:
+        return 0
+    mean, most = n * good / total, min(n, good)
+    mode = (n + 1) * (good + 1) // (total + 2)
+    # The hat's width 2 sqrt(2/e) of a standard deviation, and 3 - 2 sqrt(3/e)
+    width = 2 * math.sqrt(2 / math.e) * math.sqrt(mean * (bad / total) * ((total - n) / max(1, total - 1)) + 0.5) + 3 - 2 * math.sqrt(3 / math.e)
+    while True:
+        u, v = rng.random(2)
+        if not u:
+            continue
+        x = mean + 0.5 + width * (v - 0.5) / u
+        if not 0 <= x < most + 1:
+            continue
+        k = int(x)
+        d = k - mode
+        log = -_log_factorials(mode, d) - _log_factorials(good - mode, -d) - _log_factorials(n - mode, -d) - _log_factorials(bad - n + mode, d)
+        if 2 * math.log(u) <= log:
+            return k
 
 
 def communication(block_rows: list[int], shard_rows: list[int], seed: int) -> list[list[int]]:

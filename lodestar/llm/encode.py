@@ -27,13 +27,17 @@ def as_bytes(ids: list[int]) -> bytes:
 
 
 class Encoder:
-    """Ids as bytes; spaces: whether the vocabulary keeps white space (byte-level) or drops it (words with ends)."""
+    """Ids as bytes. path: a vocabulary file, or the name of a public one, which each worker looks up. spaces: whether the vocabulary keeps white space (byte-level) or drops it (words with ends)."""
 
     def __init__(self, path: str, spaces: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        if "/" not in path:
+            import public_tokenizers
+
+            path = public_tokenizers.path(path)
+        self.tokenizer = Tokenizer.from_file(str(path))
         self.tokenizer.encode_special_tokens = True  # what looks like a special token in a text is text
         self.most = max(self.tokenizer.get_vocab().values())
         self.spaces, self.memo, self.words = spaces, {}, {}

@@ -1,8 +1,9 @@
 """Token ids of a corpus in Arrow files of equal-length rows, and their way back.
 
 Each part file holds a contiguous range of the corpus in ascending id order: record batches of fixed-size lists `ids`
-(16 bits if the vocabulary fits, else 32) and `mask` (a bit each; 0: padding after the part's last id), so row r of batch b is at a known place of a memory
-map. An index file beside it says where each document begins in the part.
+(16 bits if the vocabulary fits, else 32) and `mask` (8 bits each; 0: padding after the part's last id), so row r of batch b
+is at a known place of a memory map and both are read without a copy. An index file beside it says where each document
+begins in the part.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ from . import encode, shared
 
 #: Ids in a row of a file, and rows in one of its record batches.
 ROW_IDS, BATCH_ROWS = 2048, 64
+#: UTF-8 bytes of text for a file, about; a small corpus has two files for each core, so that all are busy.
+PART_BYTES = 64 << 20
 _INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_ids", pa.int64())])
 _MANIFEST = "part int, path string, n_ids long, n_docs long"
 
 
 def _file_schema(row_ids: int, kind: type) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), row_ids)), ("mask", pa.list_(pa.bool_(), row_ids))])
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), row_ids)), ("mask", pa.list_(pa.uint8(), row_ids))])
 
 
 class _Rows:
@@ -53,7 +56,7 @@ class _Rows:
         rows = -(-n // self.row_ids)
         flat = np.zeros(rows * self.row_ids, self.kind)
         flat[:n] = np.frombuffer(ids, "<u4")
-        mask = np.arange(len(flat)) < n
+        mask = (np.arange(len(flat)) < n).astype(np.uint8)
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.row_ids) for x in (flat, mask)]
         self.writer.write_batch(pa.record_batch(lists, schema=self.schema))
 
@@ -70,8 +73,9 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, spaces:
     first. Other columns are not read. An empty table gives no part with documents. A task that runs again writes files
     of its own name; the manifest names those of the attempt that counted.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chosen = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    size, rows = chosen.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    parts = max(1, min(rows, max(-(-size // PART_BYTES), 2 * docs.sparkSession.sparkContext.defaultParallelism)))
     ordered = chosen.repartitionByRange(parts, "doc", "tie").sortWithinPartitions("doc", "tie").select("doc", "text")
     end = encode.as_bytes([end_id])
 
@@ -102,7 +106,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, spaces:
 
 
 class TokenFile:
-    """One part file: rows by number, or spans of ids by their place in the part, without copying the file."""
+    """One part file: rows by number, or spans of ids by their place in the part, without copying the file where it is local."""
 
     def __init__(self, folder: str, name: str):
         store, root = fs.FileSystem.from_uri(folder)
@@ -118,9 +122,9 @@ class TokenFile:
         return self._held[1]
 
     def row(self, r: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and the mask of row r."""
+        """The ids and the mask of row r, as views of the file."""
         batch, at = self.file.get_batch(r // BATCH_ROWS), r % BATCH_ROWS
-        return tuple(batch.column(c)[at].values.to_numpy(zero_copy_only=c == 0) for c in (0, 1))
+        return tuple(batch.column(c)[at].values.to_numpy(zero_copy_only=True) for c in (0, 1))
 
     def span(self, start: int, n: int) -> Iterator[np.ndarray]:
         """The ids from start to start + n in pieces that lie in one record batch each."""

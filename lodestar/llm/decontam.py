@@ -103,6 +103,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80,
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without a leak, with their columns; rows without an id stay."""
+    """The rows of docs without a leak, with their columns.
+
+    Rows without an id stay, and so do null and empty texts unless another row of their id leaks: all rows that repeat an
+    id go or none. An empty table on either side leaves docs as it is.
+    """
     leaked = shared.stash(leaks(docs, benchmark, k, percent).select("doc_id").distinct(), "leaked")
     return docs.join(shared.small(leaked), "doc_id", "left_anti")

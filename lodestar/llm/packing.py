@@ -3,7 +3,8 @@
 A document's ids are cut into windows of the longest context and a rest; the rest is routed to the smallest context tier
 that holds it. Tiers are packed from the longest down: each rest opens a window of its tier, and the gap behind it is filled
 with rests of shorter tiers, the last of which is cut to fit. Every task packs blocks of its own rows, so nothing is
-shuffled; a block leaves less than one short window of padding. Windows of a tier then form step groups of equal size.
+shuffled; a block leaves less than one short window of padding. Windows of a tier form step groups of STEP_IDS ids, which
+are carried from block to block: a task leaves one group of each tier short at most.
 """
 
 from __future__ import annotations
@@ -83,19 +84,20 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, spaces: bool = True, ti
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_ids, base, made = encode.encoder(tokenizer, spaces), TaskContext.get().partitionId() << 32, [0, 0]
+        open_groups: dict[int, tuple[int, int]] = {}  # by tier: the group that is being filled, and its room
 
         def flush(names: list, held: list[bytes]) -> pa.RecordBatch:
             rows: list[list] = [[] for _ in range(10 if with_ids else 9)]
-            last_tier, room = 0, 0
             for tier, pieces in pack([len(x) // 4 for x in held], tiers):
-                if tier != last_tier or room < tier:
+                group, room = open_groups.get(tier, (0, 0))
+                if room < tier:
                     made[1] += 1
-                    last_tier, room = tier, STEP_IDS
-                room -= tier
+                    group, room = made[1], STEP_IDS
+                open_groups[tier] = group, room - tier
                 offset = 0
                 for d, start, n in pieces:
                     ids = memoryview(held[d])[4 * start : 4 * (start + n)]
-                    values = (names[d], start, n, zlib.crc32(ids), len(held[d]) // 4, base + made[0], offset, tier, base + made[1]) + ((bytes(ids),) if with_ids else ())
+                    values = (names[d], start, n, zlib.crc32(ids), len(held[d]) // 4, base + made[0], offset, tier, base + group) + ((bytes(ids),) if with_ids else ())
                     for column, x in zip(rows, values, strict=True):
                         column.append(x)
                     offset += n

@@ -11,6 +11,7 @@ import datetime
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +19,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 ROUNDS = 10
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
-#: Dates are permuted among the days from the first to the last of these.
+#: A mailbox of fewer symbols is short. Dates are permuted among the days from the first to the last of these.
+SHORT_NAME = 4
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
 
 # What each kind of personal data looks like.
@@ -90,8 +92,11 @@ def _classed(c: str) -> str:
 
 
 def _email(v: str, f: Feistel, back: bool) -> str:
+    """The mailbox is permuted; one of a few symbols together with the host's first name, for by itself it has few images."""
     name, host = v.split("@")
-    return f.symbols(name, [_classed(c) for c in name], "email", back) + "@" + host
+    label, dot, rest = host.partition(".") if len(name) < SHORT_NAME else ("", "", host)
+    new = f.symbols(name + label, [_classed(c) for c in name + label], f"email{len(name)}", back)
+    return f"{new[: len(name)]}@{new[len(name) :]}{dot}{rest}"
 
 
 def _digits(v: str, f: Feistel, tweak: str, back: bool, fixed: int = 0) -> str:
@@ -141,23 +146,33 @@ def _ip(v: str, f: Feistel, back: bool) -> str | None:
     return ".".join(map(str, y.to_bytes(4, "big")))
 
 
+@lru_cache
+def _days(late: bool) -> tuple[list[datetime.date], dict[datetime.date, int]]:
+    """The days that are permuted among themselves, those up to a month's 12th or those after it, and the place of each."""
+    every = (FIRST_DAY + datetime.timedelta(i) for i in range((LAST_DAY - FIRST_DAY).days + 1))
+    days = [d for d in every if (d.day > 12) == late]
+    return days, {d: i for i, d in enumerate(days)}
+
+
 def _date(v: str, f: Feistel, back: bool) -> str | None:
-    """With slashes the month comes first where only that is a date; single digits come back as two."""
+    """Equal days have equal pseudonyms in every notation; single digits come back as two.
+
+    With slashes the month comes first where only that is a date. Days after the 12th stay so, and are read the same way again.
+    """
     sign = next(c for c in v if not c.isdigit())
     x, y, z = map(int, v.split(sign))
-    ways = {"date": (x, y, z) if sign == "-" else (z, y, x)} | ({"month first": (z, x, y)} if sign == "/" else {})
+    ways = {"{0:04d}-{1:02d}-{2:02d}": (x, y, z)} if sign == "-" else {"{2:02d}" + sign + "{1:02d}" + sign + "{0:04d}": (z, y, x)}
+    if sign == "/":
+        ways["{1:02d}/{2:02d}/{0:04d}"] = (z, x, y)
     for way, parts in ways.items():
         try:
             day = datetime.date(*parts)
         except ValueError:
             continue
-        if not FIRST_DAY <= day <= LAST_DAY:
-            continue
-        while (day := FIRST_DAY + datetime.timedelta(f.within((day - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, way, back))).day <= 12 and way == "month first":
-            pass  # else it could be read with the day first
-        if sign == "-":
-            return day.isoformat()
-        return f"{day.month:02d}/{day.day:02d}/{day.year}" if way == "month first" else f"{day.day:02d}{sign}{day.month:02d}{sign}{day.year}"
+        if FIRST_DAY <= day <= LAST_DAY:
+            days, place = _days(day.day > 12)
+            new = days[f.within(place[day], len(days), f"date{day.day > 12}", back)]
+            return way.format(new.year, new.month, new.day)
     return None
 
 

@@ -116,7 +116,7 @@ def is_held_out(doc_id) -> F.Column:
 def fit(stats: DataFrame, labels: DataFrame) -> Discriminant:
     """Fit to all labelled rows that are not held out; labels with a quality other than 0 and 1 are left out.
 
-    Tasks send one sum of products for each class, so the driver gets numbers of a fixed size from each.
+    Tasks add up their products for each class and Spark adds up the sums, so the driver gets a few hundred numbers.
     """
     labels = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     k = len(WEIGHTS)
@@ -132,7 +132,7 @@ def fit(stats: DataFrame, labels: DataFrame) -> Discriminant:
 
 
 def _sums(rows: DataFrame, f, classes: int) -> dict[int, np.ndarray]:
-    """The sum of f over the counts of each class's rows; every task sends its own sums."""
+    """The sum of f over the counts of each class's rows, added up by Spark: the driver gets as many numbers as f has."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -141,13 +141,14 @@ def _sums(rows: DataFrame, f, classes: int) -> dict[int, np.ndarray]:
             for c in range(classes):
                 own = x[b.column(0).to_numpy() == c]
                 if len(own):
-                    sums[c] = sums.get(c, 0) + f(own)
-        yield pa.record_batch([pa.array([*sums], pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["class", "sums"])
+                    sums[c] = sums.get(c, 0) + f(own).ravel()
+        for c, s in sums.items():
+            yield pa.record_batch([pa.array(np.full(len(s), c, np.int32)), pa.array(np.arange(len(s), dtype=np.int32)), pa.array(s)], ["class", "place", "value"])
 
-    total: dict[int, np.ndarray] = {}
-    for c, s in rows.mapInArrow(add, "class int, sums binary").collect():
-        total[c] = total.get(c, 0) + np.frombuffer(s, np.float64)
-    return total
+    total: dict[int, list[float]] = {}
+    for c, _, value in sorted(map(tuple, rows.mapInArrow(add, "class int, place int, value double").groupBy("class", "place").agg(F.sum("value")).collect())):
+        total.setdefault(c, []).append(value)
+    return {c: np.array(values) for c, values in total.items()}
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -169,7 +170,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score 0.5 or more, with all their columns."""
+    """The rows of docs that score 0.5 or more, with all their columns.
+
+    Null and empty texts are scored as quality_scores does; equal rows and rows without an id are judged like others. Without
+    labels of both classes every score is 0.5, so all rows stay. An empty table gives an empty result.
+    """
     stats = with_counts(docs)
     model = fit(stats, labels)
     shared.discard(stats)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, embed_join, ngram_join, packing, pii, quality, shards, shared, substrings, tokenfiles, warc_audit
 
-#: Where the public vocabularies are.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+#: Public vocabularies by name; a worker looks up where it has them.
+BYTES, WORDS = "byte_bpe_50k.json", "word_bpe_49k.json"
 END_ID = 1
 #: A key for tests and checks; a real run passes its own.
 DEMO_KEY = b"not a secret: pass your own key"
@@ -51,12 +49,12 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared.fresh_path(spark, "token-files")
-    manifest = tokenfiles.write_ids(table(spark, sf_dir, "documents"), folder, f"{TOKENIZERS}/word_bpe_49k.json", END_ID, spaces=False)
+    manifest = tokenfiles.write_ids(table(spark, sf_dir, "documents"), folder, WORDS, END_ID, spaces=False)
     return tokenfiles.read_digests(manifest, folder)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", END_ID)
+    return packing.packed(table(spark, sf_dir, "documents"), BYTES, END_ID)
 
 
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,11 +81,5 @@ FROM r WINDOW w AS (PARTITION BY page_id // 1000 ORDER BY page_id ROWS UNBOUNDED
 """
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_benchmark_decontamination, op3_quality_classifier, op4_pii_pseudonyms, op5_uniform_shards, op6_substring_dedup, op7_ngram_jaccard_join, op8_token_files, op9_packing, op10_warc_fixity, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_benchmark_decontamination, op3_quality_classifier, op4_pii_pseudonyms, op5_uniform_shards, op6_substring_dedup, op7_ngram_jaccard_join, op8_token_files, op9_packing, op10_warc_fixity)}
 ORACLE_SQL = {"op10_warc_fixity": OP10_SQL}

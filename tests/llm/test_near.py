@@ -79,6 +79,8 @@ def test_repeated_words_of_like_structure_and_repeated_ids(spark):
 def test_near_vectors(spark, monkeypatch, cell, tile):
     monkeypatch.setattr(embed_join, "CELL", cell)
     monkeypatch.setattr(embed_join, "TILE", tile)
+    monkeypatch.setattr(embed_join, "OTHERS", tile * 2)
+    monkeypatch.setattr(embed_join, "AT_ONCE", tile * 4)
     rng = np.random.default_rng(cell)
     centres = rng.normal(size=(30, 8))
     x = np.repeat(centres, 8, axis=0) + rng.normal(size=(240, 8)) * rng.choice([0.02, 0.1, 0.2], size=(240, 1))
@@ -95,6 +97,12 @@ def test_near_vectors(spark, monkeypatch, cell, tile):
     assert links and found == {i: (degree[i], parts[i], parts[i] == i) for i in parts}
 
 
+def test_pivots_grow_with_the_vectors():
+    for n, width in [(10, 64), (10**6, 64), (2**31 + 5, 64), (10**11, 1024)]:
+        pivots = n * embed_join.pivot_share(n, width) / embed_join.HASHES
+        assert pivots == pytest.approx(min(n / embed_join.CELL, embed_join.PIVOT_BYTES / 8 / width), rel=1e-6)
+
+
 def test_components_of_a_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3)]
     found = dict(map(tuple, shared.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import gzip
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -21,15 +22,16 @@ from lodestar.llm import decontam, embed_join, encode, ngram_join, packing, pii,
 from . import brute
 
 KEY = b"a key for tests"
-BYTES, WORDS = f"{queries.TOKENIZERS}/byte_bpe_50k.json", f"{queries.TOKENIZERS}/word_bpe_49k.json"
+BYTES, WORDS = queries.BYTES, queries.WORDS
 TEXTS = [None, "", "word", "two  words", "A line\nand another one, with <|endoftext|> and 1,234.5!", "ÄÖ naïve 日本語 😀", "x" * 3000, "it's o'clock...\t\tend", " lead and trail "]
 
 
 @lru_cache
 def tokenizer(path: str):
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
+    t = Tokenizer.from_file(str(public_tokenizers.path(path)))
     t.encode_special_tokens = True
     return t
 
@@ -64,6 +66,22 @@ def test_dates_of_single_digits_come_back_as_two():
     assert text == pii.pseudonymise("01.03.1999", KEY)[0] and pii.pseudonymise(text, KEY, back=True)[0] == "01.03.1999"
 
 
+def test_a_day_has_one_pseudonym_in_every_notation():
+    days = [datetime.date(2024, 2, 29), datetime.date(1999, 3, 1), datetime.date(2010, 12, 13), datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)]
+    for d in days:
+        ways = ["{0:04d}-{1:02d}-{2:02d}", "{2:02d}.{1:02d}.{0:04d}", "{2:02d}/{1:02d}/{0:04d}", *(["{1:02d}/{2:02d}/{0:04d}"] if d.day > 12 else [])]
+        new = [pii.pseudonymise(w.format(d.year, d.month, d.day), KEY)[0] for w in ways]
+        day = datetime.date.fromisoformat(new[0])
+        assert new == [w.format(day.year, day.month, day.day) for w in ways] and (day.day > 12) == (d.day > 12)
+
+
+def test_short_mailboxes_change():
+    old = [f"{a}@mail{i}.example.org" for a in "abcdefghijklmnopqrstuvwxyz" for i in range(10)]
+    new = [pii.pseudonymise(v, KEY)[0] for v in old]
+    assert len(set(new)) == len(old) and all(a != b and re.fullmatch(r"[a-z]@[a-z]{4}\d\.example\.org", b) for a, b in zip(old, new, strict=True))
+    assert [pii.pseudonymise(v, KEY, back=True)[0] for v in new] == old
+
+
 @pytest.mark.parametrize("kind", ["{:03d}-{:02d}-1234", "{1:02d}/{0:02d}/2001"])
 def test_pseudonyms_are_valid_again(kind):
     values = {kind.format(a, b) for a in range(1, 29) for b in range(1, 13)}
@@ -178,6 +196,32 @@ def test_communication_matrix_is_drawn_as_by_a_permutation():
     assert abs(drawn[:, 0, 0].var() - variance) < 0.5
 
 
+@pytest.mark.parametrize(("good", "bad", "n"), [(3, 4, 5), (30, 70, 30), (500, 40, 300), (6 * 10**10, 9 * 10**11, 2 * 10**7), (10**12, 10**9, 10**6), (10**10, 10**14, 10_000)])
+def test_hypergeometric_draws_have_the_exact_law(good, bad, n):
+    rng, total, times = np.random.default_rng(good % 97), good + bad, 20_000
+    drawn = np.array([shards.hypergeometric(rng, good, bad, n) for _ in range(times)], float)
+    assert drawn.min() >= max(0, n - bad) and drawn.max() <= min(n, good)
+    mean = n * good / total
+    spread = math.sqrt(mean * (bad / total) * ((total - n) / (total - 1)))
+    z = (drawn - mean) / spread
+    assert abs(z.mean()) < 5 / math.sqrt(times) and abs((z**2).mean() - 1) < 0.06
+    if total < 1000:
+        for k in range(max(0, n - bad), min(n, good) + 1):
+            p = math.comb(good, k) * math.comb(bad, n - k) / math.comb(total, n)
+            assert abs((drawn == k).mean() - p) < 5 * math.sqrt(p / times) + 1e-4
+
+
+def test_the_order_of_shards_is_uniform(spark):
+    table = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).coalesce(1)
+    found = shards.uniform_shards(table, 4, block_rows=500).toPandas()
+    place = found.shard * 1500 + found.slot
+    assert abs(np.corrcoef(found.doc_id, place)[0, 1]) < 0.07
+    halves = Counter(zip(found.doc_id // 1500, place // 1500, strict=True))  # each quarter of the input in each shard
+    assert len(halves) == 16 and sum((n - 375) ** 2 / 375 for n in halves.values()) < 35
+    step = np.diff(found.sort_values(["shard", "slot"]).doc_id.to_numpy())
+    assert 0.45 < (step > 0).mean() < 0.55
+
+
 # token ids
 
 
@@ -203,7 +247,7 @@ def test_token_files(spark, docs):
         part = tokenfiles.TokenFile(folder, m["path"])
         for r in range(-(-m["n_ids"] // 64)):
             ids, mask = part.row(r)
-            assert len(ids) == len(mask) == 64
+            assert len(ids) == len(mask) == 64 and mask.dtype == np.uint8 and not (ids.flags.owndata or mask.flags.owndata)
             read += ids[mask == 1].tolist()
     assert read == all_ids
 
@@ -227,6 +271,7 @@ def _check_packed(rows, ids: dict[int, list[int]]) -> None:
         padding += tier - used
         groups[own[0]["step_group"]] += tier
     assert max(groups.values()) <= packing.STEP_IDS
+    assert sum(n < packing.STEP_IDS for n in groups.values()) <= 8 * len(packing.TIERS)  # one of each tier and task
     assert padding <= 256 * 8  # less than a short window for each task
 
 

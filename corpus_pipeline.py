@@ -33,7 +33,7 @@ def pseudonymous(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document in its packed sequence."""
-    return packing.packed(docs, f"{queries.TOKENIZERS}/byte_bpe_50k.json", queries.END_ID)
+    return packing.packed(docs, queries.BYTES, queries.END_ID)
 
 
 STAGES = [("quality", good_documents), ("near_duplicates", one_of_each), ("decontamination", without_benchmark), ("pii", pseudonymous), ("packing", sequences)]
@@ -42,7 +42,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the table documents; an empty table gives an empty result.
+
+    Null and empty texts go through all stages: scored like others, linked with nothing, and packed as their end id. Of
+    equal rows with different ids the smallest id stays; rows that repeat an id, or have none, stay or go as each stage says.
+    """
     docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = shared.stash(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, shared.stash(stage(spark, docs, sf_dir), f"stage-{name}")
+        shared.discard(before)  # only what an earlier stage wrote
     return STAGES[-1][1](spark, docs, sf_dir)

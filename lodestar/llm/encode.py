@@ -12,7 +12,7 @@ import re
 from array import array
 
 #: Stretches and words that a worker remembers before it starts anew; texts whose stretches are looked up together.
-MEMO, WORDS, TOGETHER = 500_000, 1_000_000, 128
+MEMO, WORDS, TOGETHER = 60_000, 120_000, 128
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 _TWO_SPACES = re.compile(r"\s\s")
 _WORD_AND_END = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")

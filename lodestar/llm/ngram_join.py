@@ -43,7 +43,7 @@ FREQUENT, VERY_FREQUENT, MAX_FREQUENT = 32, 1024, 2_000_000
 #: Prefix tokens of a subclass of pairs and of triples, about: more make more signatures, fewer a longer prefix.
 SUBCLASS = {2: 16, 3: 4}
 #: Tokens counted together before a task reports those seen twice; tokens of whole sets that a task holds before it sends them.
-COUNTED_TOGETHER, SENT_TOGETHER = 2_000_000, 1_000_000
+COUNTED_TOGETHER, SENT_TOGETHER = 1_000_000, 500_000
 #: Documents of a block, of which two meet at a time; tokens of one product; counts of sketches that are compared at once.
 BLOCK, PRODUCT_TOKENS, COMPARED = 64, 16_384, 1 << 22
 
@@ -365,11 +365,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
 
     indexed = shared.stash(docs.mapInArrow(index, "doc long, n long, one long, two long, sketch binary, keys array<long>"), "indexed")
     equal = shared.stash(indexed.where("n > 0").groupBy("n", "one", "two").agg(F.min("doc").alias("leader")), "equal")
-    reps = indexed.join(shared.small(equal.where("leader is not null").select(F.col("leader").alias("doc"), "n", "one", "two")), ["doc", "n", "one", "two"])
+    reps = indexed.join(equal.where("leader is not null").select(F.col("leader").alias("doc"), "n", "one", "two"), ["doc", "n", "one", "two"])
     reps = shared.stash(reps.select("doc", "n", "sketch", "keys"), "reps")
     posted = reps.select("doc", F.explode("keys").alias("sig"))
     heads = shared.stash(posted.groupBy("sig").agg(F.min("doc").alias("leader"), F.max("doc").alias("most")).where("leader < most").drop("most"), "heads")
-    pairs = posted.join(shared.small(heads), "sig").where("doc <> leader").select("doc", "leader").distinct()
+    pairs = posted.join(heads, "sig").where("doc <> leader").select("doc", "leader").distinct()
     sized = reps.select("doc", "n")
     pairs = shared.stash(pairs.join(sized, "doc").join(sized.toDF("leader", "leader_n"), "leader"), "pairs")
     shared.discard(heads)
@@ -395,7 +395,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     crowds = members.groupBy("leader", "band").agg(F.count("*").alias("rows"), F.max("fringe").alias("any"), (F.min("part") != F.max("part")).alias("apart"), F.min("guest").alias("alone")).where("any and apart and not alone")
     crowds = shared.stash(crowds.select("leader", "band", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "crowds")
     block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    crowd = members.join(shared.small(crowds), ["leader", "band"]).withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    crowd = members.join(crowds, ["leader", "band"]).withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     crowd = crowd.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
     crowd = crowd.join(reps.select("doc", "n", "sketch"), ["doc", "n"]).select(*_MEMBER, "sketch")
     possible = shared.stash(_by_group(crowd, ["leader", "band", "i", "j"], _possible_of_block(percent), _MEMBER_SCHEMA), "possible")

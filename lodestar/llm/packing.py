@@ -23,7 +23,7 @@ from . import encode
 
 TIERS = (256, 512, 1024, 2048)
 #: A task packs so many ids, or documents, at once; ids of a step group.
-BLOCK_IDS, BLOCK_DOCS, STEP_IDS = 4_000_000, 16_384, 16_384
+BLOCK_IDS, BLOCK_DOCS, STEP_IDS = 1_000_000, 8192, 16_384
 Piece = tuple[int, int, int]  # document in the block, first id, ids
 
 

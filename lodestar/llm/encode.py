@@ -11,8 +11,8 @@ import os
 import re
 from array import array
 
-#: Stretches and words that a worker remembers before it starts anew; texts whose stretches are looked up together.
-MEMO, WORDS, TOGETHER = 60_000, 120_000, 128
+#: Stretches and words that a worker remembers, or twice as many; texts whose stretches are looked up together.
+MEMO, WORDS, TOGETHER = 200_000, 200_000, 128
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 _TWO_SPACES = re.compile(r"\s\s")
 _WORD_AND_END = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
@@ -40,7 +40,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(str(path))
         self.tokenizer.encode_special_tokens = True  # what looks like a special token in a text is text
         self.most = max(self.tokenizer.get_vocab().values())
-        self.spaces, self.memo, self.words = spaces, {}, {}
+        self.spaces, self.memo, self.words = spaces, Memo(MEMO), Memo(WORDS)
 
     def stretches(self, text: str) -> list[str]:
         if not self.spaces:
@@ -56,27 +56,40 @@ class Encoder:
         return m.groups() if m else (stretch,)
 
     def learn(self, stretches: set[str]) -> None:
-        if len(self.words) > WORDS:
-            self.words.clear()
         parts = {s: self.parts(s) for s in stretches}
-        new = list(set().union(*parts.values()).difference(self.words))
+        new = list(self.words.missing(set().union(*parts.values())))
         for lo in range(0, len(new), 8192):
             for w, e in zip(new[lo : lo + 8192], self.tokenizer.encode_batch_fast(new[lo : lo + 8192], add_special_tokens=False), strict=True):
-                self.words[w] = as_bytes(e.ids)
+                self.words.young[w] = as_bytes(e.ids)
+        ids = self.words.young
         for s, p in parts.items():
-            self.memo[s] = b"".join([self.words[w] for w in p])
+            self.memo.young[s] = b"".join([ids[w] for w in p])
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for lo in range(0, len(texts), TOGETHER):
             cut = [self.stretches(t or "") for t in texts[lo : lo + TOGETHER]]
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            self.learn(set().union(*cut).difference(self.memo))
-            out += [b"".join(map(self.memo.__getitem__, c)) for c in cut]
+            self.learn(self.memo.missing(set().union(*cut)))
+            out += [b"".join(map(self.memo.young.__getitem__, c)) for c in cut]
         return out
 
 
+class Memo:
+    """What was seen of late: once so many are known the older half goes, but for those that are met again."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """The keys that are not known; all others are young from now on."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        new = keys.difference(self.young)
+        met = new.intersection(self.old)
+        self.young.update((k, self.old[k]) for k in met)
+        return new - met
+
+
 def encoder(path: str, spaces: bool) -> Encoder:
     """The worker's encoder for a vocabulary; it outlives a task."""
     if (path, spaces) not in _ENCODERS:

@@ -29,6 +29,14 @@ class UndefinedObject(LodestarError):
     sqlstate = "42704"
 
 
+class InvalidDatetime(LodestarError):
+    sqlstate = "22007"
+
+
+class UnsupportedTrigger(LodestarError):
+    sqlstate = "0A000"
+
+
 class RowBudgetExceeded(LodestarError):
     sqlstate = "54000"
 

@@ -6,7 +6,7 @@ execution splits at skewed keys; aggregates are partial before their shuffle; or
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import RowBudgetExceeded
@@ -33,7 +33,7 @@ def join_using(left: DataFrame, right: DataFrame, *names: str) -> DataFrame:
 
 def semi(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
     """column IN (SELECT ...): values has one column."""
-    return df.join(values.distinct().toDF("__in"), F.col(column) == F.col("__in"), "left_semi")
+    return df.join(values.toDF("__in"), F.col(column) == F.col("__in"), "left_semi")
 
 
 def null_aware_anti(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def null_aware_anti(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
     values = values.toDF("__in")
     facts = values.agg(F.count("*").alias("__n"), F.count_if(F.col("__in").isNull()).alias("__nulls"))
     left = df.join(F.broadcast(facts)).where("__nulls = 0").where((F.col("__n") == 0) | F.col(column).isNotNull())
-    return left.join(values.where("__in is not null").distinct(), F.col(column) == F.col("__in"), "left_anti").drop("__n", "__nulls")
+    return left.join(values.where("__in is not null"), F.col(column) == F.col("__in"), "left_anti").drop("__n", "__nulls")
 
 
 def aggregate(df: DataFrame, by: list[str | Column], *aggs: Column, having: Column | None = None) -> DataFrame:
@@ -57,12 +57,25 @@ def aggregate(df: DataFrame, by: list[str | Column], *aggs: Column, having: Colu
 def distinct_ordered(df: DataFrame, columns: list[str], *keys: tuple[str | Column, str]) -> DataFrame:
     """SELECT DISTINCT columns ORDER BY keys that may be hidden: each row stands where it would first appear.
 
-    The least value of a key (the greatest, descending) ranks a group; one shuffle groups and another one sorts. Of several
-    hidden keys each is taken by itself, so give keys that the first decides or the columns themselves.
+    Keys of one direction are compared as one tuple, whose least (greatest) Spark finds with partial aggregates. Keys of
+    both directions have no such tuple: equal rows are grouped first, then each group's first row is taken by a window.
     """
-    best = [(F.min(c) if way == "asc" else F.when(F.count_if(F.col(c).isNull() if isinstance(c, str) else c.isNull()) == 0, F.max(c))).alias(f"__k{i}") for i, (c, way) in enumerate(keys)]
-    order = ordered(*((f"__k{i}", way) for i, (_, way) in enumerate(keys)))
-    return df.groupBy(*columns).agg(*best).orderBy(*order).select(*columns)
+    named = [(F.col(c) if isinstance(c, str) else c).alias(f"__k{i}") for i, (c, _) in enumerate(keys)]
+    names, ways = [f"__k{i}" for i in range(len(keys))], {way for _, way in keys}
+    order = ordered(*((n, way) for n, (_, way) in zip(names, keys, strict=True)))
+    rows = df.select(*columns, *named)
+    if len(ways) == 1:
+        whole = F.struct(*(x for n in names for x in (F.col(n).isNull().alias(f"{n}_null"), F.col(n))))  # null is the greatest
+        first = rows.groupBy(*columns).agg((F.min if ways == {"asc"} else F.max)(whole).alias("__k")).select(*columns, "__k.*")
+    else:
+        window = Window.partitionBy(*columns).orderBy(*order)
+        first = rows.distinct().withColumn("__n", F.row_number().over(window)).where("__n = 1")
+    return first.orderBy(*order).select(*columns)
+
+
+def by_position(df: DataFrame, *keys: tuple[int, str]) -> list[Column]:
+    """Sort keys from (ordinal of an output column, "asc" or "desc"), counted from 1."""
+    return ordered(*((df.columns[i - 1], way) for i, way in keys))
 
 
 def limited(df: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -72,7 +85,7 @@ def limited(df: DataFrame, limit: int | None = None, offset: int = 0) -> DataFra
 
 
 def within_budget(df: DataFrame, rows: int = 10_000_000) -> DataFrame:
-    """The frame itself if a result of so few rows may go to a client; raises otherwise."""
+    """The frame itself if a result of so few rows may go to a client; raises otherwise. Its plan runs once for the count."""
     if df.limit(rows + 1).count() > rows:
         raise RowBudgetExceeded(f"result exceeds {rows} rows")
     return df

@@ -7,6 +7,7 @@ digits depend on the order of additions.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,7 +89,7 @@ def q_case(t):
 
 def _joined(how: str):
     def f(t):
-        c, o = t("customer").where("c_custkey % 3 <> 0"), t("orders").where("o_totalprice > 250000")
+        c, o = t("customer").where("c_acctbal > 2000"), t("orders").where("o_totalprice > 250000")
         return R.join(c, o, c["c_custkey"] == o["o_custkey"], how).select("c_custkey", "o_orderkey")
 
     return f
@@ -97,7 +98,7 @@ def _joined(how: str):
 for _how in ("inner", "left", "right", "full"):
     _f = _joined(_how)
     _f.__name__ = f"q_join_{_how}"
-    query(f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c {_how.upper()} JOIN (SELECT * FROM orders WHERE o_totalprice > 250000) o ON c_custkey = o_custkey")(_f)
+    query(f"SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 2000) c {_how.upper()} JOIN (SELECT * FROM orders WHERE o_totalprice > 250000) o ON c_custkey = o_custkey")(_f)
 
 
 @query("SELECT r_name, n_name FROM region CROSS JOIN nation")
@@ -139,14 +140,20 @@ def q_in_subquery(t):
     return R.semi(t("customer"), "c_custkey", t("orders").where("o_totalprice > 300000").select("o_custkey")).select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def q_not_in_subquery(t):
-    return R.null_aware_anti(t("customer"), "c_custkey", t("orders").select("o_custkey")).select("c_custkey")
+    return R.null_aware_anti(t("customer"), "c_custkey", t("orders").where("o_totalprice > 300000").select("o_custkey")).select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT CASE WHEN o_totalprice > 1000 THEN o_custkey END FROM orders)")
+_RICH = "SELECT o_custkey FROM orders WHERE o_totalprice > 300000"
+
+
+@query(f"SELECT 'null in the list' AS which, count(*) AS n FROM customer WHERE c_custkey NOT IN ({_RICH} UNION ALL SELECT NULL) UNION ALL SELECT 'null on the left', count(*) FROM customer WHERE CASE WHEN c_acctbal > 0 THEN c_custkey END NOT IN ({_RICH}) UNION ALL SELECT 'empty list', count(*) FROM customer WHERE CASE WHEN c_acctbal > 0 THEN c_custkey END NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice < 0)")
 def q_not_in_with_null(t):
-    return R.null_aware_anti(t("customer"), "c_custkey", t("orders").select(F.when(F.col("o_totalprice") > 1000, F.col("o_custkey")).alias("k"))).select("c_custkey")
+    customers = t("customer").withColumn("k", F.when(F.col("c_acctbal") > 0, F.col("c_custkey")))
+    rich = t("orders").where("o_totalprice > 300000").select("o_custkey")
+    cases = {"null in the list": ("c_custkey", rich.union(rich.sparkSession.sql("SELECT CAST(NULL AS BIGINT)"))), "null on the left": ("k", rich), "empty list": ("k", t("orders").where("o_totalprice < 0").select("o_custkey"))}
+    return reduce(DataFrame.union, (R.aggregate(R.null_aware_anti(customers, column, values), [], n()).select(F.lit(name).alias("which"), "n") for name, (column, values) in cases.items()))
 
 
 @query("SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_totalprice > c_acctbal * 30)")
@@ -154,9 +161,9 @@ def q_exists_correlated(t):
     return t("customer").join(t("orders"), F.expr("o_custkey = c_custkey and o_totalprice > c_acctbal * 30"), "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_totalprice > 300000)")
 def q_not_exists(t):
-    return t("customer").join(t("orders"), F.expr("o_custkey = c_custkey"), "left_anti").select("c_custkey")
+    return t("customer").join(t("orders").where("o_totalprice > 300000"), F.expr("o_custkey = c_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > (SELECT avg(s_acctbal) FROM supplier)")
@@ -200,10 +207,10 @@ def q_group_alias(t):
     return R.aggregate(t("events"), [S.date_text(F.col("ts")).alias("day")], n())
 
 
-@query("SELECT s_suppkey, v FROM (SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS v FROM supplier) ORDER BY v DESC NULLS FIRST, s_suppkey LIMIT 20")
+@query("SELECT s_suppkey, v FROM (SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS v FROM supplier) ORDER BY v DESC NULLS FIRST, s_suppkey")
 def q_order_nulls(t):
     x = t("supplier").select("s_suppkey", F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("v"))
-    return R.limited(x.orderBy(*R.ordered(("v", "desc"), ("s_suppkey", "asc"))), 20)
+    return x.orderBy(*R.ordered(("v", "desc"), ("s_suppkey", "asc")))
 
 
 @query("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey LIMIT 10 OFFSET 5")
@@ -216,18 +223,51 @@ def q_distinct(t):
     return t("orders").select("o_orderpriority", "o_orderstatus").distinct()
 
 
-@query("SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY max(o_totalprice) DESC, o_custkey LIMIT 15")
+@query("SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY max(o_totalprice) DESC, o_custkey")
 def q_distinct_order_hidden(t):
-    return R.limited(R.distinct_ordered(t("orders"), ["o_custkey"], ("o_totalprice", "desc"), ("o_custkey", "asc")), 15)
+    return R.distinct_ordered(t("orders"), ["o_custkey"], ("o_totalprice", "desc"), ("o_custkey", "asc"))
+
+
+@query("SELECT o_custkey FROM orders GROUP BY o_custkey ORDER BY min(struct_pack(a := o_orderdate, b := o_totalprice)), o_custkey")
+def q_distinct_order_two_hidden(t):
+    return R.distinct_ordered(t("orders"), ["o_custkey"], ("o_orderdate", "asc"), ("o_totalprice", "asc"), ("o_custkey", "asc"))
+
+
+@query("SELECT row_number() OVER (ORDER BY d DESC, c) - 1 AS place, c AS o_custkey FROM (SELECT o_custkey AS c, (array_agg(struct_pack(d := o_orderdate, p := o_totalprice) ORDER BY o_orderdate DESC, o_totalprice))[1].d AS d FROM orders GROUP BY o_custkey) ORDER BY place LIMIT 50")
+def q_distinct_order_both_ways(t):
+    rows = R.distinct_ordered(t("orders"), ["o_custkey"], ("o_orderdate", "desc"), ("o_custkey", "asc"), ("o_totalprice", "asc"))
+    return R.limited(rows, 50).select(F.monotonically_increasing_id().alias("place"), "o_custkey")
+
+
+@query("SELECT o_orderkey, 2 * o_totalprice AS twice FROM orders ORDER BY twice DESC NULLS FIRST, o_orderkey LIMIT 20")
+def q_order_alias(t):
+    return R.limited(t("orders").select("o_orderkey", (2 * F.col("o_totalprice")).alias("twice")).orderBy(*R.ordered(("twice", "desc"), ("o_orderkey", "asc"))), 20)
+
+
+@query("SELECT o_custkey, o_totalprice FROM orders ORDER BY 2 DESC NULLS FIRST, 1 LIMIT 20 OFFSET 3")
+def q_order_ordinal(t):
+    rows = t("orders").select("o_custkey", "o_totalprice")
+    return R.limited(rows.orderBy(*R.by_position(rows, (2, "desc"), (1, "asc"))), 20, 3)
+
+
+@query("SELECT p_partkey, name FROM (SELECT p_partkey, CASE WHEN p_size > 25 THEN upper(p_name) ELSE lower(p_name) END AS name FROM part) ORDER BY lower(name), p_partkey LIMIT 30")
+def q_order_nocase(t):
+    rows = t("part").select("p_partkey", F.when(F.col("p_size") > 25, F.upper("p_name")).otherwise(F.lower("p_name")).alias("name"))
+    return R.limited(rows.orderBy(*R.ordered((S.nocase(F.col("name")), "asc"), ("p_partkey", "asc"))), 30)
+
+
+@query("SELECT o.*, c_name FROM orders o JOIN customer c ON o_custkey = c_custkey WHERE o_totalprice > 200000")
+def q_table_star(t):
+    return t("orders").alias("o").join(t("customer").alias("c"), F.expr("o_custkey = c_custkey")).where("o_totalprice > 200000").select("o.*", "c_name")
 
 
 for _name, _word, _op in (("union_all", "UNION ALL", DataFrame.union), ("union", "UNION", lambda a, b: a.union(b).distinct()), ("intersect", "INTERSECT", DataFrame.intersect), ("intersect_all", "INTERSECT ALL", DataFrame.intersectAll), ("except", "EXCEPT", DataFrame.subtract), ("except_all", "EXCEPT ALL", DataFrame.exceptAll)):
 
     def _set(t, op=_op):
-        return op(t("customer").select(F.col("c_nationkey").alias("k")), t("supplier").where("s_suppkey % 2 = 0").select(F.col("s_nationkey").alias("k")))
+        return op(t("customer").select(F.col("c_nationkey").alias("k")), t("supplier").where("s_acctbal > 3000").select(F.col("s_nationkey").alias("k")))
 
     _set.__name__ = f"q_{_name}"
-    query(f"SELECT c_nationkey AS k FROM customer {_word} SELECT s_nationkey AS k FROM supplier WHERE s_suppkey % 2 = 0")(_set)
+    query(f"SELECT c_nationkey AS k FROM customer {_word} SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 3000")(_set)
 
 
 @query("SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 0 THEN c_mktsegment END, 'none') AS seg, lower(c_name) AS lo, upper(c_mktsegment) AS up, hex(encode(c_name)) AS hx, c_name || '/' || c_mktsegment AS both FROM customer")
@@ -247,6 +287,13 @@ def q_fn_datetime(t):
     return t("events").select("event_id", S.timestamp_text(ts).alias("at"), S.date_text(S.shifted(ts, months=1)).alias("next_month"), S.timestamp_text(S.shifted(ts, hours=-36)).alias("before"))
 
 
+@query("SELECT event_id, strftime(ts - INTERVAL 30 DAY + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS a, strftime(ts + INTERVAL 13 MONTH, '%Y-%m-%d') AS b, strftime(date_trunc('second', ts) - INTERVAL 5 MINUTE, '%Y-%m-%d %H:%M:%S') AS c, strftime(date_trunc('day', ts) - INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S') AS d, strftime(ts, '%Y-%m-%d %H:%M:%S') < strftime(now() AT TIME ZONE 'UTC' + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS past FROM events")
+def q_fn_datetime_text(t):
+    ts = F.col("ts")
+    iso, day = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.date_format(ts, "yyyy-MM-dd")
+    return t("events").select("event_id", S.datetime(ts, "-30 days", "+1 hour").alias("a"), S.date(ts, "+1 year", "1 month").alias("b"), S.datetime(iso, "-5 minutes", is_text=True).alias("c"), S.datetime(day, "-1 second", is_text=True).alias("d"), (S.timestamp_text(ts) < S.datetime("now", "+1 day")).alias("past"))
+
+
 @query("SELECT l_orderkey, l_linenumber, CAST((l_linenumber - 4) // 2 AS INTEGER) AS q, (l_linenumber - 4) % 3 AS r, -l_linenumber AS neg FROM lineitem")
 def q_int_div_mod(t):
     x = F.col("l_linenumber") - 4
@@ -259,59 +306,107 @@ def q_casts(t):
     return t("lineitem").select("l_orderkey", "l_linenumber", S.float_text(F.floor("l_quantity").cast("double")).alias("qty"), S.int_of_float(F.col("l_extendedprice")).alias("whole"), S.timestamp_text(F.col("l_shipdate")).alias("ship"), S.bool_of_text(yes).alias("flag"))
 
 
-def _new_nations(t) -> DataFrame:
-    """Rows for nation as a statement would bring them: some known keys, one new key twice; ord numbers them."""
-    return t("nation").where("n_nationkey < 3").select("n_nationkey", F.concat(F.lit("NEW "), "n_name").alias("n_name"), "n_regionkey", F.col("n_nationkey").cast("int").alias("ord")).union(t("region").where("r_regionkey < 2").select(F.lit(100), "r_name", F.lit(0), (F.lit(10) + F.col("r_regionkey")).cast("int")))
+@query("SELECT l_orderkey, l_linenumber, regexp_replace(CAST(l_discount AS VARCHAR), '\\.0$', '') AS fraction, regexp_replace(CAST(l_extendedprice AS VARCHAR), '\\.0$', '') AS price, CAST(CAST(l_linenumber * 1e20 AS DECIMAL(38, 0)) AS VARCHAR) AS large, printf('%.7f', l_linenumber / 1e7) AS small FROM lineitem")
+def q_casts_float_text(t):
+    line = F.col("l_linenumber").cast("double")
+    shown = {"fraction": F.col("l_discount"), "price": F.col("l_extendedprice"), "large": line * 1e20, "small": line / 1e7}
+    return t("lineitem").select("l_orderkey", "l_linenumber", *(S.float_text(x).alias(name) for name, x in shown.items()))
+
+
+@query("SELECT event_id, md5(event_type) AS digits, CAST(CAST(md5(event_type) AS UUID) AS VARCHAR) AS uuid, date_trunc('second', ts) AS at, event_id % 2 = 0 AS flag, user_id AS whole, value AS number FROM events")
+def q_casts_from_text(t):
+    # texts as a careless writer leaves them: white space of all kinds around them, hyphens, upper case
+    ts, digits = F.col("ts"), F.md5("event_type")
+    flag = F.when(F.col("event_id") % 2 == 0, "\t YES\n").otherwise(" Off ")
+    return t("events").select("event_id", S.uuid_text(S.uuid_of_text(F.upper(digits))).alias("digits"), S.uuid_of_text(digits).alias("uuid"), S.timestamp_of_text(F.date_format(ts, "' 'yyyy-MM-dd'T'HH:mm:ss'Z '")).alias("at"), S.bool_of_text(flag).alias("flag"), S.int_of_text(F.concat(F.lit("\n+"), F.col("user_id").cast("string"))).alias("whole"), S.float_of_text(F.concat(F.col("value").cast("string"), F.lit(" "))).alias("number"))
 
 
-_NEW = "SELECT n_nationkey, 'NEW ' || n_name AS n_name, n_regionkey, n_nationkey AS ord FROM nation WHERE n_nationkey < 3 UNION ALL SELECT 100, r_name, 0, 10 + r_regionkey FROM region WHERE r_regionkey < 2"
+def _new_orders(t) -> DataFrame:
+    """Rows for orders as a statement would bring them, derived from the whole table: known keys at other prices, and a new key for each customer, as often as they ordered; ord numbers them."""
+    o, price = t("orders"), F.col("o_totalprice")
+    known = o.where("o_totalprice > 100000").select("o_orderkey", "o_custkey", F.lit("N").alias("o_orderstatus"), F.when(F.col("o_orderstatus") == "F", price + 100).otherwise(price - 100).alias("o_totalprice"), "o_orderdate", F.lit("0-NEW").alias("o_orderpriority"), F.col("o_orderkey").alias("ord"))
+    return known.unionByName(o.withColumn("ord", F.col("o_orderkey")).withColumn("o_orderkey", F.col("o_custkey") + 10**9))
 
 
-@query(f"SELECT * FROM nation UNION ALL SELECT 200 + ord, n_name, NULL FROM ({_NEW})")
+_NEW = "SELECT o_orderkey, o_custkey, 'N' AS o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 100 ELSE o_totalprice - 100 END AS o_totalprice, o_orderdate, '0-NEW' AS o_orderpriority, o_orderkey AS ord FROM orders WHERE o_totalprice > 100000 UNION ALL SELECT o_custkey + 1000000000, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, o_orderkey FROM orders"
+_FRESH = "o_orderkey NOT IN (SELECT o_orderkey FROM orders)"
+
+
+@query("SELECT * FROM orders UNION ALL SELECT o_orderkey + 2000000000, o_custkey, 'N', NULL, o_orderdate, o_orderpriority FROM orders")
 def q_dml_insert(t):
-    return C.insert(t("nation"), _new_nations(t).select((F.col("ord") + 200).alias("n_nationkey"), "n_name"), unique=("n_nationkey",))
+    rows = t("orders").select((F.col("o_orderkey") + 2 * 10**9).alias("o_orderkey"), "o_custkey", "o_orderdate", "o_orderpriority")
+    return C.insert(t("orders"), rows, {"o_orderstatus": F.lit("N")}, required=("o_orderkey", "o_orderstatus"), unique=("o_orderkey",))
+
+
+@query("SELECT * FROM region UNION ALL VALUES (100, 'here'), (101, NULL)")
+def q_dml_insert_values(t):
+    region = t("region")
+    return C.insert(region, region.sparkSession.createDataFrame([(100, "here"), (101, None)], "r_regionkey int, r_name string"))
 
 
-@query(f"WITH x AS ({_NEW}) SELECT * FROM nation UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM x WHERE n_nationkey NOT IN (SELECT n_nationkey FROM nation) QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY ord) = 1")
+@query(f"WITH x AS ({_NEW}) SELECT * FROM orders UNION ALL SELECT * EXCLUDE (ord) FROM x WHERE {_FRESH} QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY ord) = 1")
 def q_dml_upsert_nothing(t):
-    return C.insert_or_nothing(t("nation"), _new_nations(t), ("n_nationkey",), "ord")
+    return C.insert_or_nothing(t("orders"), _new_orders(t), ("o_orderkey",), "ord")
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey < 3 THEN n_name || '|NEW ' || n_name ELSE n_name END AS n_name, n_regionkey FROM nation UNION ALL SELECT 100, (SELECT r_name FROM region WHERE r_regionkey = 0) || '|' || (SELECT r_name FROM region WHERE r_regionkey = 1), 0")
+@query(f"WITH x AS ({_NEW}) SELECT o.* REPLACE (CASE WHEN x.ord IS NULL THEN o.o_orderpriority ELSE o.o_orderpriority || '|' || x.o_orderpriority END AS o_orderpriority) FROM orders o LEFT JOIN x USING (o_orderkey) UNION ALL SELECT o_orderkey, any_value(o_custkey), min_by(o_orderstatus, ord), min_by(o_totalprice, ord), min_by(o_orderdate, ord), string_agg(o_orderpriority, '|' ORDER BY ord) FROM x WHERE {_FRESH} GROUP BY o_orderkey")
 def q_dml_upsert_update(t):
-    return C.upsert(t("nation"), _new_nations(t), ("n_nationkey",), "ord", lambda old, new: {"n_name": F.concat(old["n_name"], F.lit("|"), new["n_name"])})
+    return C.upsert(t("orders"), _new_orders(t), ("o_orderkey",), "ord", lambda old, new: {"o_orderpriority": F.concat(old["o_orderpriority"], F.lit("|"), new["o_orderpriority"])})
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey < 3 THEN 'NEW ' || n_name ELSE n_name END AS n_name, n_regionkey FROM nation UNION ALL SELECT 100, (SELECT r_name FROM region WHERE r_regionkey = 1), 0")
+@query(f"WITH x AS ({_NEW}) SELECT o.* REPLACE (CASE WHEN x.o_totalprice > o.o_totalprice THEN x.o_totalprice ELSE o.o_totalprice END AS o_totalprice) FROM orders o LEFT JOIN x USING (o_orderkey) UNION ALL SELECT o_orderkey, any_value(o_custkey), min_by(o_orderstatus, ord), max(o_totalprice), min_by(o_orderdate, ord), min_by(o_orderpriority, ord) FROM x WHERE {_FRESH} GROUP BY o_orderkey")
+def q_dml_upsert_where(t):
+    return C.upsert(t("orders"), _new_orders(t), ("o_orderkey",), "ord", lambda old, new: {"o_totalprice": new["o_totalprice"]}, where=lambda old, new: new["o_totalprice"] > old["o_totalprice"])
+
+
+@query(f"WITH x AS (SELECT * FROM ({_NEW}) QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY ord DESC) = 1) SELECT * EXCLUDE (ord) FROM x UNION ALL SELECT * FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM x)")
 def q_dml_or_replace(t):
-    return C.upsert(t("nation"), _new_nations(t), ("n_nationkey",), "ord", lambda old, new: {c: new[c] for c in ("n_nationkey", "n_name", "n_regionkey")})
+    return C.replace(t("orders"), _new_orders(t), ("o_orderkey",), "ord", required=("o_orderkey",))
 
 
-@query("SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_acctbal < 0 THEN 0.0 ELSE s_acctbal END AS s_acctbal FROM supplier")
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_totalprice > 200000 THEN 'R' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_totalprice > 200000 THEN o_totalprice - 5 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def q_dml_update(t):
-    return C.update(t("supplier"), F.col("s_acctbal") < 0, s_acctbal=F.lit(0.0))
+    return C.update(t("orders"), F.col("o_totalprice") > 200000, {"o_orderstatus": F.lit("R"), "o_totalprice": F.col("o_totalprice") - 5}, required=("o_orderstatus",), unique=("o_orderkey",))
 
 
-@query("SELECT * FROM supplier WHERE NOT coalesce(s_nationkey IN (1, 2, 3), false)")
+@query("SELECT * FROM lineitem WHERE NOT coalesce(l_returnflag IN ('R') AND l_quantity < 20, false)")
 def q_dml_delete(t):
-    return C.delete(t("supplier"), F.col("s_nationkey").isin(1, 2, 3))
+    return C.delete(t("lineitem"), F.col("l_returnflag").isin("R") & (F.col("l_quantity") < 20))
 
 
-@query("SELECT *, CAST(0 AS BIGINT) AS banned FROM region")
+@query("SELECT (SELECT count(*) FROM orders WHERE o_totalprice > 200000) AS by_update, (SELECT count(*) FROM customer) AS by_nothing")
+def q_affected_rows(t):
+    orders = t("orders")
+    fresh = C.inserted_or_nothing(orders, _new_orders(t), ("o_orderkey",), "ord").agg(F.count("*").alias("by_nothing"))
+    return orders.where("o_totalprice > 200000").agg(F.count("*").alias("by_update")).crossJoin(fresh)  # one row each
+
+
+@query("SELECT *, CAST(0 AS BIGINT) AS banned FROM customer")
 def q_ddl_add_column_default(t):
-    return C.add_column(t("region"), "banned", "bigint", 0)
+    return C.add_column(t("customer"), "banned", "bigint", 0)
 
 
-@query("SELECT r_regionkey, upper(r_name) || '!' AS r_name FROM region WHERE r_regionkey <> 2")
+@query("SELECT * FROM customer UNION ALL SELECT c_custkey + 1000000000, upper(c_name) || '!', c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal >= 0")
 def q_trigger_replace_skip(t):
-    return C.before_each_row(t("region"), lambda r: None if r["r_regionkey"] == 2 else {**r, "r_name": r["r_name"].upper() + "!"})
+    """A trigger that expressions can say is a function from rows to rows."""
+    rows = t("customer").withColumn("c_custkey", F.col("c_custkey") + 10**9)
+    return C.insert(t("customer"), rows.where("c_acctbal >= 0").withColumn("c_name", F.concat(F.upper("c_name"), F.lit("!"))))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT' THEN o_totalprice + 1000 ELSE o_totalprice END AS o_totalprice, o_orderdate, CASE WHEN o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT' THEN o_orderpriority || '*!' ELSE o_orderpriority END AS o_orderpriority FROM orders")
+def q_trigger_update_chain(t):
+    """Row triggers in a chain, which see the row as it was."""
+    urgent_stays = lambda event, row, old: None if old["o_orderpriority"] == "1-URGENT" else row
+    marked = lambda event, row, old: {**row, "o_orderpriority": old["o_orderpriority"] + "*"}
+    again = lambda event, row, old: {**row, "o_orderpriority": row["o_orderpriority"] + "!"}
+    return C.update(t("orders"), F.col("o_orderstatus") == "F", {"o_totalprice": F.col("o_totalprice") + 1000}, before=(urgent_stays, marked, again))
 
 
-@query("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey HAVING count(*) > 1")
+@query("SELECT o_custkey, o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1")
 def q_unique_violations(t):
-    return t("nation").groupBy("n_regionkey").agg(n()).where("n > 1")
+    return R.aggregate(t("orders"), ["o_custkey", "o_orderstatus", "o_orderpriority"], n(), having=F.col("n") > 1)
 
 
-@query()
+@query("SELECT r_regionkey, 12 AS length FROM region")
 def q_randomblob_length(t):
     return t("region").select("r_regionkey", F.length(S.random_blob(12)).alias("length"))

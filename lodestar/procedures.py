@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from .errors import PermissionDenied, UndefinedObject
 
-# What a role may be allowed; admin implies the rest.
+#: What a role may be allowed; admin implies the rest.
 PERMISSIONS = ("select", "insert", "update", "delete", "create_table", "drop_table", "call", "admin")
 
 

@@ -13,11 +13,6 @@ def test_same_as_sql(name, spark, sf_dir, same_as_sql):
     same_as_sql(entry.queries()[name](spark, sf_dir), entry.oracle_sql()[name])
 
 
-def test_without_sql(spark, sf_dir):
-    rows = catalogue.QUERIES["randomblob_length"](spark, sf_dir).collect()
-    assert rows and all(r["length"] == 12 for r in rows)
-
-
 def test_entry(spark, sf_dir):
     assert entry.entry(spark).count() > 0
 

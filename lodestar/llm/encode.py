@@ -52,7 +52,7 @@ class Encoder:
     def parts(self, stretch: str) -> tuple[str, ...]:
         if not self.spaces and stretch.isascii():
             stretch = stretch.lower()  # as the vocabulary without spaces does itself
-        m = _WORD_AND_END.fullmatch(stretch)
+        m = None if stretch[-1:].isalnum() else _WORD_AND_END.fullmatch(stretch)
         return m.groups() if m else (stretch,)
 
     def learn(self, stretches: set[str]) -> None:
@@ -62,8 +62,7 @@ class Encoder:
             for w, e in zip(new[lo : lo + 8192], self.tokenizer.encode_batch_fast(new[lo : lo + 8192], add_special_tokens=False), strict=True):
                 self.words.young[w] = as_bytes(e.ids)
         ids = self.words.young
-        for s, p in parts.items():
-            self.memo.young[s] = b"".join([ids[w] for w in p])
+        self.memo.young.update((s, ids[p[0]] if len(p) == 1 else ids[p[0]] + ids[p[1]]) for s, p in parts.items())
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out = []

@@ -83,10 +83,10 @@ class Memo:
         """The keys that are not known; all others are young from now on."""
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
-        new = keys.difference(self.young)
-        met = new.intersection(self.old)
-        self.young.update((k, self.old[k]) for k in met)
-        return new - met
+        unmet = keys.difference(self.young)
+        new = unmet.difference(self.old)
+        self.young.update((k, self.old[k]) for k in unmet.difference(new))
+        return new
 
 
 def encoder(path: str, spaces: bool) -> Encoder:

@@ -12,7 +12,7 @@ import re
 from array import array
 
 #: Stretches and words that a worker remembers, or twice as many; texts whose stretches are looked up together.
-MEMO, WORDS, TOGETHER = 200_000, 200_000, 128
+MEMO, WORDS, TOGETHER = 300_000, 250_000, 128
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 _TWO_SPACES = re.compile(r"\s\s")
 _WORD_AND_END = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")

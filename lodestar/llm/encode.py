@@ -13,6 +13,8 @@ from array import array
 
 #: Stretches and words that a worker remembers, or twice as many; texts whose stretches are looked up together.
 MEMO, WORDS, TOGETHER = 300_000, 250_000, 128
+#: New words that go to the tokenizer in one sequence, and sequences in one call.
+SEQUENCE, CALL = 32, 256
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 _TWO_SPACES = re.compile(r"\s\s")
 _WORD_AND_END = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
@@ -58,10 +60,17 @@ class Encoder:
     def learn(self, stretches: set[str]) -> None:
         parts = {s: self.parts(s) for s in stretches}
         new = list(self.words.missing(set().union(*parts.values())))
-        for lo in range(0, len(new), 8192):
-            for w, e in zip(new[lo : lo + 8192], self.tokenizer.encode_batch_fast(new[lo : lo + 8192], add_special_tokens=False), strict=True):
-                self.words.young[w] = as_bytes(e.ids)
         ids = self.words.young
+        sequences = [new[lo : lo + SEQUENCE] for lo in range(0, len(new), SEQUENCE)]
+        for lo in range(0, len(sequences), CALL):
+            some = sequences[lo : lo + CALL]
+            for words, e in zip(some, self.tokenizer.encode_batch(some, is_pretokenized=True, add_special_tokens=False), strict=True):
+                packed, owner, begin = as_bytes(e.ids), e.word_ids, 0
+                for i, word in enumerate(words):  # each is encoded by itself; its ids say whose they are
+                    end = begin
+                    while end < len(owner) and owner[end] == i:
+                        end += 1
+                    ids[word], begin = packed[4 * begin : 4 * end], end
         self.memo.young.update((s, ids[p[0]] if len(p) == 1 else ids[p[0]] + ids[p[1]]) for s, p in parts.items())
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:

@@ -107,10 +107,9 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, spaces: bool = True, ti
 
         names, held, size = [], [], 0
         for batch in batches:
-            for lo in range(0, len(batch), encode.TOGETHER):
-                b = batch.slice(lo, encode.TOGETHER)
+            for b in encode.slices(batch):
                 names += b.column(0).to_pylist()
-                new = [ids + end for ids in to_ids(b.column(1).to_pylist())]
+                new = [ids + end for ids in to_ids(b.column(1))]
                 held += new
                 size += sum(map(len, new)) // 4
                 if size >= BLOCK_IDS or len(held) >= BLOCK_DOCS:

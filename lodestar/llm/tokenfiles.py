@@ -89,10 +89,9 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, spaces:
         with store.open_output_stream(f"{root}/{name}.arrow") as sink, store.open_output_stream(f"{root}/{name}.index.arrow") as side:
             rows, index = _Rows(sink, row_ids, max(to_ids.most, end_id)), pa.ipc.new_file(side, _INDEX)
             for batch in batches:
-                for lo in range(0, len(batch), encode.TOGETHER):
-                    b = batch.slice(lo, encode.TOGETHER)
+                for b in encode.slices(batch):
                     starts, sizes = [], []
-                    for ids in to_ids(b.column(1).to_pylist()):
+                    for ids in to_ids(b.column(1)):
                         starts.append(rows.total)
                         rows.add(ids + end)
                         sizes.append(rows.total - starts[-1])
